@@ -21,7 +21,7 @@ def squeeze(c: Column) -> Column:
 
 def or_none(c: Column) -> Column:
     """NULL for an empty string, so that ``coalesce`` can skip it."""
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -49,53 +49,48 @@ def contains_any(c: Column, words) -> Column:
     return c.rlike(literal_alternation(words))
 
 
-def distinct_by(items: Column, key) -> Column:
-    """First element per key, original order kept.
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
 
-    Sorts positions by key (n log n) rather than comparing all pairs.
+    Spark evaluates a repeated sub-expression of a lambda function each time it
+    occurs; a lambda variable is evaluated once.
     """
-    keyed = F.array_sort(
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _by_key(items: Column, key) -> Column:
+    return F.sort_array(
         F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("p"), x.alias("v")))
     )
-    first = F.filter(
-        F.zip_with(
-            keyed,
-            F.concat(F.array(F.lit(None).cast("string")), F.transform(keyed, lambda s: s["k"])),
-            lambda s, before: F.struct(s.alias("s"), before.alias("before")),
-        ),
-        lambda e: e["s"].isNotNull() & ~e["s"]["k"].eqNullSafe(e["before"]),
+
+
+def _in_place(entries: Column) -> Column:
+    return F.transform(F.sort_array(entries), lambda s: s["v"])
+
+
+def distinct_by(items: Column, key) -> Column:
+    """First element per key, original order kept.
+
+    Sorts by key (n log n) rather than comparing all pairs.
+    """
+    first = let(
+        _by_key(items, key),
+        lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["k"] != e["k"])),
     )
-    ordered = F.array_sort(
-        F.transform(first, lambda e: F.struct(e["s"]["p"].alias("p"), e["s"]["v"].alias("v")))
+    return _in_place(
+        F.transform(first, lambda e: F.struct(e["p"].alias("p"), e["v"].alias("v")))
     )
-    return F.transform(ordered, lambda s: s["v"])
 
 
 def last_value_distinct_by(items: Column, key) -> Column:
-    """Per key: the position of its first element with the value of its last."""
-    ordered = F.array_sort(
-        F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("p"), x.alias("v")))
-    )
-    # The last of a run of equal keys is the one whose successor has another key.
-    keys = F.transform(ordered, lambda s: s["k"])
-    runs = F.filter(
-        F.transform(
-            ordered,
-            lambda s, i: F.struct(
-                s.alias("s"),
-                (~F.get(keys, i - 1).eqNullSafe(s["k"])).alias("opens"),
-                (~F.get(keys, i + 1).eqNullSafe(s["k"])).alias("closes"),
-            ),
-        ),
-        lambda e: e["opens"] | e["closes"],
-    )
-    opening = F.filter(runs, lambda e: e["opens"])
-    closing = F.filter(runs, lambda e: e["closes"])
-    placed = F.zip_with(
-        opening, closing, lambda a, b: F.struct(a["s"]["p"].alias("p"), b["s"]["v"].alias("v"))
-    )
-    return F.transform(F.array_sort(placed), lambda s: s["v"])
+    """Per key: the place of its first element with the value of its last."""
 
+    def run_ends(s):
+        n = F.size(s)
+        opening = F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["k"] != e["k"]))
+        closing = F.filter(s, lambda e, i: (i == n - 1) | (F.get(s, i + 1)["k"] != e["k"]))
+        return F.zip_with(
+            opening, closing, lambda a, b: F.struct(a["p"].alias("p"), b["v"].alias("v"))
+        )
 
-def round_score(c: Column, digits: int = 3) -> Column:
-    return F.round(c, digits)
+    return _in_place(let(_by_key(items, key), run_ends))

@@ -6,11 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlode import rules
-from leadlode.functions.common import contains_any, distinct_by, strip, text_or_empty
+from leadlode.functions.common import contains_any, distinct_by, let, strip, text_or_empty
+
+
+# The same addresses as EMAIL_PATTERN finds: a match can only start where a run of
+# local-part characters starts (or where the last match ended), so every other
+# place of the text is skipped at once.
+_EMAIL_AT_RUN_START = r"(?:\G|(?<![a-zA-Z0-9._%+-]))" + rules.EMAIL_PATTERN
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _found(text: Column, hint: Column, pattern: str, group: int) -> Column:
+    """All matches, looked for only where the cheap hint holds."""
+    return F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(_none())
 
 
 def find_emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rules.EMAIL_PATTERN), F.lit(0))
+    return _found(text, text.contains("@"), _EMAIL_AT_RUN_START, 0)
 
 
 def is_valid_email(
@@ -33,13 +48,15 @@ def is_valid_email(
 
 
 def mailto_targets(html: Column) -> Column:
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']\s*mailto:([^"'?]+)"""), F.lit(1))
+    found = _found(
+        html, html.rlike("(?i)mailto:"), r"""(?i)href\s*=\s*["']\s*mailto:([^"'?]+)""", 1
+    )
     return F.filter(F.transform(found, strip), lambda e: e.contains("@"))
 
 
 def deobfuscated_emails(text: Column) -> Column:
     """``info [at] x [dot] org`` and its variants, written as addresses."""
-    found = F.regexp_extract_all(text, F.lit(rules.OBFUSCATED_EMAIL_PATTERN), F.lit(1))
+    found = _found(text, text.rlike(rules.OBFUSCATED_DOT_HINT), rules.OBFUSCATED_EMAIL_PATTERN, 1)
     return F.transform(
         found,
         lambda s: F.regexp_replace(
@@ -64,7 +81,9 @@ def decode_protected(hex_text: Column) -> Column:
 
 
 def protected_emails(html: Column) -> Column:
-    found = F.regexp_extract_all(html, F.lit(r"""data-cfemail=["']([0-9a-fA-F]+)["']"""), F.lit(1))
+    found = _found(
+        html, html.contains("data-cfemail"), r"""data-cfemail=["']([0-9a-fA-F]+)["']""", 1
+    )
     return F.filter(F.transform(found, decode_protected), lambda e: e.contains("@"))
 
 
@@ -101,16 +120,19 @@ def find_phones(text: Column) -> Column:
 
 def find_profiles(text: Column) -> Column:
     """``struct(company, people, best)`` of the profile links in a text."""
-    links = F.array_distinct(
-        F.regexp_extract_all(text_or_empty(text), F.lit(rules.PROFILE_PATTERN), F.lit(0))
-    )
-    company = F.get(F.filter(links, lambda l: F.lower(l).contains("/company/")), 0)
-    people = F.filter(links, lambda l: ~F.lower(l).contains("/company/"))
-    return F.struct(
-        company.alias("company"),
-        people.alias("people"),
-        F.coalesce(company, F.get(people, 0)).alias("best"),
-    )
+    t = text_or_empty(text)
+    found = _found(t, t.rlike(r"(?i)linkedin\.com/"), rules.PROFILE_PATTERN, 0)
+
+    def split(links):
+        company = F.get(F.filter(links, lambda l: F.lower(l).contains("/company/")), 0)
+        people = F.filter(links, lambda l: ~F.lower(l).contains("/company/"))
+        return F.struct(
+            company.alias("company"),
+            people.alias("people"),
+            F.coalesce(company, F.get(people, 0)).alias("best"),
+        )
+
+    return let(F.array_distinct(found), split)
 
 
 def mask_email(email: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlode import rules
-from leadlode.functions.common import SPACE, or_none, strip, text_or_empty
+from leadlode.functions.common import SPACE, let, or_none, strip, text_or_empty
 from leadlode.functions.urls import clean_domain
 
 
@@ -59,16 +59,15 @@ def name_from_title(
         plain = F.lower(F.regexp_replace(p, "[^a-zA-Z0-9]", ""))
         return plain.contains(base) | F.contains(base, plain)
 
-    longest_first = F.array_sort(
-        F.transform(
-            parts, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))
+    def best(valid):
+        longest_first = F.sort_array(
+            F.transform(
+                valid, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))
+            )
         )
-    )
-    return F.coalesce(
-        F.get(F.filter(parts, agrees), 0),
-        F.get(longest_first, 0)["p"],
-        name_from_domain(domain, overrides),
-    )
+        return F.coalesce(F.get(F.filter(valid, agrees), 0), F.get(longest_first, 0)["p"])
+
+    return F.coalesce(let(parts, best), name_from_domain(domain, overrides))
 
 
 def resolve_name(
@@ -78,11 +77,13 @@ def resolve_name(
     overrides: dict[str, str] | None = None,
 ) -> Column:
     """First valid of: the verdict's name, the title's name, the domain's name."""
-    from_title = name_from_title(title, domain, overrides)
-    official = strip(text_or_empty(verdict_name))
+
+    def if_valid(name):
+        return let(name, lambda n: F.when(~is_invalid_name(n), n))
+
     return F.coalesce(
-        F.when(~is_invalid_name(official), official),
-        F.when(~is_invalid_name(from_title), from_title),
+        if_valid(strip(text_or_empty(verdict_name))),
+        if_valid(name_from_title(title, domain, overrides)),
         name_from_domain(domain, overrides),
     )
 

@@ -20,12 +20,17 @@ def extract_emails(
     blocked_words=rules.BLOCKED_EMAIL_WORDS,
     asset_extensions=rules.ASSET_EXTENSIONS,
 ) -> DataFrame:
-    """``id, email, pos``: valid addresses per document, first spelling of each."""
+    """``id, pos, email, context``: valid addresses per document, first spelling of each.
+
+    ``context`` is the text around the address; it costs nothing unless selected.
+    """
+    text = text_or_empty(F.col(text_col))
     found = F.filter(
-        C.find_emails(text_or_empty(F.col(text_col))),
-        lambda e: C.is_valid_email(e, blocked_words, asset_extensions),
+        C.find_emails(text), lambda e: C.is_valid_email(e, blocked_words, asset_extensions)
     )
-    return docs.select(id_col, F.posexplode(distinct_by(found, F.lower)).alias("pos", "email"))
+    return docs.select(
+        id_col, F.col(text_col).alias("_text"), F.posexplode(distinct_by(found, F.lower)).alias("pos", "email")
+    ).select(id_col, "pos", "email", TX.source_context(F.col("_text"), F.col("email")).alias("context"))
 
 
 def extract_phones(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,24 +62,30 @@ def mine_pages(
 
 
 def contact_values(mined: DataFrame) -> DataFrame:
-    """One row per contact and page: ``site, kind, value, key, url, page_id, pos``."""
+    """One row per contact and page: ``site, kind, value, key, url, page_id, pos``.
+
+    Every page also gives a ``page`` row, and a ``section`` row when it shows a
+    contact section, so that one pass over the pages answers for a whole site.
+    """
 
-    def of_kind(kind, values):
+    def of_kind(kind, values, fold=False):
         return F.transform(
             values,
             lambda v, i: F.struct(
                 F.lit(kind).alias("kind"),
                 v.alias("value"),
-                (F.lower(v) if kind == "email" else v).alias("key"),
+                (F.lower(v) if fold else v).alias("key"),
                 i.alias("pos"),
             ),
         )
 
-    company = F.col("profiles.company")
+    blank = F.array(F.lit(""))
     everything = F.concat(
-        of_kind("email", F.col("emails")),
+        of_kind("page", blank),
+        of_kind("section", F.when(F.col("has_contact_section"), blank).otherwise(F.slice(blank, 1, 0))),
+        of_kind("email", F.col("emails"), fold=True),
         of_kind("phone", F.col("phones")),
-        of_kind("company_profile", F.array_compact(F.array(company))),
+        of_kind("company_profile", F.array_compact(F.array(F.col("profiles.company")))),
         of_kind("people_profile", F.col("profiles.people")),
     )
     return mined.select("site", "url", "page_id", F.inline(everything))
@@ -96,7 +107,8 @@ def email_sources(values: DataFrame, k: int = 14) -> DataFrame:
 
     The array holds the first ``k`` pages (the size of one crawl of a site);
     ``n_sources`` counts all of them, and ``contact_values`` keeps every row, so
-    an address on millions of pages is never gathered into one row.
+    an address on millions of pages is never gathered into one row.  ``values`` is
+    read twice; pass a written table, not a pending mining job.
     """
     emails = values.where(F.col("kind") == "email")
     by_sight = Window.partitionBy("site", "key").orderBy("page_id", "pos")
@@ -107,7 +119,7 @@ def email_sources(values: DataFrame, k: int = 14) -> DataFrame:
         .groupBy("site", "key")
         .agg(
             F.min_by("value", "rnk").alias("email"),
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("rnk", "url", urls.page_name(F.col("url")).alias("page"))
                 )
@@ -127,14 +139,15 @@ def email_sources(values: DataFrame, k: int = 14) -> DataFrame:
 
 def contact_bundle(pages: DataFrame, **options) -> DataFrame:
     """One row per site: primary contacts, counts and where they were found."""
-    mined = mine_pages(pages, **options)
-    found = distinct_contacts(contact_values(mined))
+    found = distinct_contacts(contact_values(mine_pages(pages, **options)))
     kind = F.col("kind")
 
     def first(column, wanted):
         return F.min_by(column, F.when(kind == wanted, F.col("first_seen")))
 
     per_site = found.groupBy("site").agg(
+        F.max(F.when(kind == "page", F.col("n_sources"))).alias("n_pages"),
+        F.max(kind == "section").alias("has_contact_section"),
         F.count_if(kind == "email").alias("n_emails"),
         F.count_if(kind == "phone").alias("n_phones"),
         F.count_if(kind.isin("company_profile", "people_profile")).alias("n_profiles"),
@@ -144,32 +157,22 @@ def contact_bundle(pages: DataFrame, **options) -> DataFrame:
         first("value", "people_profile").alias("people_profile"),
         first("source_url", "email").alias("email_url"),
     )
-    sites = mined.groupBy("site").agg(
-        F.count("*").alias("n_pages"), F.max("has_contact_section").alias("has_contact_section")
-    )
-    home = F.concat(F.lit("https://"), F.col("site"))
-    has_email = F.col("primary_email").isNotNull()
-
-    def count(c):
-        return F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-
-    return sites.join(per_site, "site", "left").select(
+    usual_page = F.concat(F.lit("https://"), F.col("site"), F.lit("/contact-us"))
+    return per_site.select(
         "site",
         "n_pages",
-        count("n_emails"),
-        count("n_phones"),
-        count("n_profiles"),
+        "n_emails",
+        "n_phones",
+        "n_profiles",
         "primary_email",
         "primary_phone",
         F.coalesce("company_profile", "people_profile").alias("profile"),
-        F.coalesce("email_url", F.concat(home, F.lit("/contact-us"))).alias("contact_url"),
-        F.when(has_email, urls.page_name(F.col("email_url")))
+        F.coalesce("email_url", usual_page).alias("contact_url"),
+        F.when(F.col("primary_email").isNotNull(), urls.page_name(F.col("email_url")))
         .when(F.col("has_contact_section"), "Contact page available — visit directly")
         .otherwise("No direct contact info found")
         .alias("source_label"),
-        (
-            F.coalesce(F.col("n_emails") + F.col("n_phones") + F.col("n_profiles"), F.lit(0)) > 0
-        ).alias("found"),
+        (F.col("n_emails") + F.col("n_phones") + F.col("n_profiles") > 0).alias("found"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadlode import rules
+from leadlode.functions.common import let
 
 
 def dashboard_kpis(clients: DataFrame, history: DataFrame) -> DataFrame:
@@ -45,15 +46,12 @@ def dashboard_kpis(clients: DataFrame, history: DataFrame) -> DataFrame:
 def log_time(value: Column, as_of: Column) -> Column:
     """Time of a log text in either written form; its UTC offset is dropped.
 
-    Text that cannot be read counts as ``as_of``; NULL and '' stay NULL.
+    Text that cannot be read counts as ``as_of``; NULL and '' stay NULL.  The cast
+    to a zone-less timestamp keeps the wall-clock reading of an offset.
     """
-    iso = F.regexp_replace(F.regexp_replace(value, "(?:Z|[+-]\\d{2}:?\\d{2})$", ""), "T", " ")
     plain = F.substring_index(value, ".", 1)
-    shape = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
-    parsed = F.when(
-        value.contains("T"), F.when(iso.rlike(shape), iso.try_cast("timestamp_ntz"))
-    ).otherwise(
-        F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), plain.try_cast("timestamp_ntz"))
+    parsed = F.when(value.contains("T"), value.try_cast("timestamp_ntz")).when(
+        plain.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), plain.try_cast("timestamp_ntz")
     )
     return F.when(value != "", F.coalesce(parsed, as_of))
 
@@ -66,41 +64,57 @@ def _as_time(df: DataFrame, column: str, as_of: Column) -> Column:
 
 def week_of(at: Column, as_of: Column) -> Column:
     """1..4 for the four 7-day spans that end at ``as_of`` (later times are week 4)."""
-    week = F.lit(None).cast("int")
-    for number, days in ((1, 28), (2, 21), (3, 14), (4, 7)):
-        week = F.when(at >= as_of - F.expr(f"interval {days} days"), number).otherwise(week)
-    return week
+
+    def pick(t):
+        week = F.lit(None).cast("int")
+        for number, days in ((1, 28), (2, 21), (3, 14), (4, 7)):
+            week = F.when(t >= as_of - F.expr(f"interval {days} days"), number).otherwise(week)
+        return week
+
+    return let(at, pick)
+
+
+WEEKS = (1, 2, 3, 4)
 
 
 def weekly_chart(clients: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
-    """E-mails, calls and meetings per company and week; empty weeks show 0."""
+    """E-mails, calls and meetings per company and week; empty weeks show 0.
+
+    Each table is read once and becomes one wide row per company; the weeks turn
+    into rows only after the join.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
 
-    def weekly(df, *measures):
-        return (
-            df.withColumn("week", week_of(_as_time(df, "created_at", now), now))
-            .where(F.col("week").isNotNull())
-            .groupBy("company_id", "week")
-            .agg(*measures)
+    def wide(df, **measures):
+        dated = df.withColumn("week", week_of(_as_time(df, "created_at", now), now))
+        return dated.groupBy("company_id").agg(
+            *[
+                F.count_if((F.col("week") == w) & condition).alias(f"{name}{w}")
+                for name, condition in measures.items()
+                for w in WEEKS
+            ]
         )
 
-    mails = weekly(history, F.count("*").alias("emails"))
-    moves = weekly(
-        clients.where(F.col("status").isin(list(rules.ACTIVE_STATUSES))),
-        F.count_if(F.col("status") == "Contacted").alias("calls"),
-        F.count_if(F.col("status").isin(list(rules.MEETING_STATUSES))).alias("meetings"),
+    status = F.col("status")
+    mails = wide(history, emails=F.lit(True))
+    moves = wide(
+        clients,
+        calls=status == "Contacted",
+        meetings=status.isin(list(rules.MEETING_STATUSES)),
     )
-    companies = clients.select("company_id").union(history.select("company_id")).distinct()
-    weeks = companies.select("company_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("week"))
-    return (
-        weeks.join(mails, ["company_id", "week"], "left")
-        .join(moves, ["company_id", "week"], "left")
-        .select(
-            "company_id",
-            "week",
-            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("emails", "calls", "meetings")],
-        )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(w).alias("week"),
+                *[
+                    F.coalesce(F.col(f"{name}{w}"), F.lit(0).cast("bigint")).alias(name)
+                    for name in ("emails", "calls", "meetings")
+                ],
+            )
+            for w in WEEKS
+        ]
     )
+    return mails.join(moves, "company_id", "full_outer").select("company_id", F.inline(rows))
 
 
 def _last(df: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,17 +29,20 @@ def assemble_evidence(
     min_chars: int = 100,
     home_chars: int | None = None,
     sub_chars: int | None = None,
+    to_text: Callable[[Column], Column] = TX.html_text,
 ) -> DataFrame:
-    """One evidence block per site out of ``site, url, rank, text`` rows.
+    """One evidence block per site out of ``site, url, rank, html`` rows.
 
-    Rank 0 is the home page; the next ``max_subpages`` ranks are its sub-pages,
-    used when they hold more than ``min_chars`` characters.  The rank filter is
-    applied per map task, so a huge site ships only a few rows.
+    The lowest rank of a site is its home page; the next ``max_subpages`` are its
+    sub-pages, used when they hold more than ``min_chars`` characters.  The rank
+    filter is applied per map task, so a huge site ships only a few rows, and only
+    the pages it keeps are turned into text.
     """
     w = Window.partitionBy("site").orderBy("rank")
     chosen = (
         pages.withColumn("nth", F.row_number().over(w))
         .where(F.col("nth") <= max_subpages + 1)
+        .select("site", "url", "nth", to_text(text_or_empty(F.col("html"))).alias("text"))
         .where((F.col("nth") == 1) | (F.length(strip(F.col("text"))) > min_chars))
     )
     path = F.coalesce(or_none(urls.url_path(F.col("url"))), F.col("url"))
@@ -57,7 +62,7 @@ def assemble_evidence(
     parts = F.col("parts")
     return (
         chosen.groupBy("site")
-        .agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        .agg(F.sort_array(F.collect_list(part)).alias("parts"))
         .select(
             "site",
             F.array_join(F.transform(parts, lambda p: p["body"]), "").alias("evidence"),

@@ -58,13 +58,28 @@ def with_effects(events: DataFrame, type_col: str = "type") -> DataFrame:
     )
 
 
+def in_chunks(
+    events: DataFrame, lead: str = "lead", ts: str = "ts", tie: str = "event_id", unit: str = "hour"
+) -> DataFrame:
+    """Events hashed on lead and time chunk, so that a busy lead is spread by time."""
+    return (
+        events.select(lead, ts, tie, "type")
+        .withColumn("chunk", F.date_trunc(unit, F.col(ts)))
+        .repartition(lead, "chunk")
+    )
+
+
 def chunk_summaries(
     events: DataFrame, lead: str = "lead", ts: str = "ts", tie: str = "event_id", unit: str = "hour"
 ) -> DataFrame:
     """Per lead and time chunk: what the chunk does to a score that enters it."""
+    return summarize(in_chunks(events, lead, ts, tie, unit), lead, ts, tie)
+
+
+def summarize(chunked: DataFrame, lead: str, ts: str, tie: str) -> DataFrame:
     at = F.struct(ts, tie)
     whole = Window.partitionBy(lead, "chunk")
-    e = with_effects(events).withColumn("chunk", F.date_trunc(unit, F.col(ts)))
+    e = with_effects(chunked)
     e = e.withColumn("last_bounce", F.max(F.when(F.col("is_bounce"), at)).over(whole))
     after = F.col("last_bounce").isNull() | (at > F.col("last_bounce"))
     return e.groupBy(lead, "chunk").agg(
@@ -132,7 +147,8 @@ def score_history(
     unit: str = "hour",
 ) -> DataFrame:
     """The score of a lead after each of its events."""
-    s = chunk_summaries(events, lead, ts, tie, unit)
+    chunked = in_chunks(events, lead, ts, tie, unit)
+    s = summarize(chunked, lead, ts, tie)
     by_chunk = Window.partitionBy(lead).orderBy("chunk")
     up_to = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumn("run", F.sum(F.col("bounced").cast("int")).over(up_to))
@@ -153,7 +169,7 @@ def score_history(
         "chunk",
         (F.when(F.col("after_bounce"), 0).otherwise(F.col("start")) + F.col("entering")).alias("entering"),
     )
-    e = with_effects(events).withColumn("chunk", F.date_trunc(unit, F.col(ts)))
+    e = with_effects(chunked)
     rows = Window.unboundedPreceding, Window.currentRow
     e = e.withColumn(
         "g",

@@ -77,7 +77,7 @@ def contact_links(
         ),
     )
     ranked = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.filter(scored, lambda l: l["score"] > 0),
                 lambda l: F.struct((-l["score"]).alias("s"), l["pos"].alias("p"), l["url"].alias("u")),

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 def id_chunk(id_col: str, rows: int) -> Column:
     """Chunk number of a unique integer id: at most ``rows`` rows per key and chunk."""
-    return F.floor(F.col(id_col) / F.lit(rows))
+    return F.call_function("div", F.col(id_col), F.lit(rows))
 
 
 def numbered_rows(df: DataFrame, keys, id_col: str, into: str = "nth", rows: int = 1 << 20) -> DataFrame:
@@ -30,10 +30,12 @@ def numbered_rows(df: DataFrame, keys, id_col: str, into: str = "nth", rows: int
     offsets = counts.select(
         *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    # Null-safe keys would need another join; the callers' keys are never NULL.
     in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(id_col)
+    # The hash on the chunk is asked for: rows already hashed on a key alone would
+    # satisfy the window and keep a hot key in one task.  The join reuses it.
     return (
-        df.withColumn("_in_chunk", F.row_number().over(in_chunk))
+        df.repartition(*keys, "_chunk")
+        .withColumn("_in_chunk", F.row_number().over(in_chunk))
         .join(offsets, [*keys, "_chunk"])
         .withColumn(into, F.col("_before") + F.col("_in_chunk"))
         .drop("_chunk", "_in_chunk", "_before")

@@ -80,29 +80,44 @@ def apply_verdicts(
     one ``raw_json`` per key.  Order: junk rule, then the verdict with its
     corrections; a candidate with no verdict row is accepted at confidence 75.
     """
-    joined = candidates.join(
-        verdicts.select(key, F.col("raw_json"), F.lit(True).alias("answered")), key, "left"
-    )
-    text = F.concat_ws(
-        " ", *[text_or_empty(F.col(c)) for c in ("name", "snippet", "scraped")]
+    # The texts are scanned before the join, so that only the findings are shuffled.
+    text = F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in ("name", "snippet", "scraped")])
+    body = F.lower(F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in ("snippet", "scraped")]))
+    similar_pattern = rules.any_of(rules.SIMILAR_SERVICE_PATTERNS, "")
+    with_software = not targets_software(target_industry)
+
+    def software_in(c):
+        return contains_any(c, rules.SOFTWARE_PHRASES) if with_software else F.lit(False)
+
+    # A phrase may begin at the end of the text and end in the reason.  The leading
+    # letter keeps a cut word from looking like a whole one.
+    tail = F.concat(F.when(F.length("_body") > 64, "x").otherwise(""), F.right("_body", F.lit(64)))
+    scanned = (
+        candidates.withColumn("junk_phrase", junk_match(text))
+        .withColumn("_body", F.when(F.col("junk_phrase").isNull(), body).otherwise(""))
+        .withColumns(
+            {
+                "_software": software_in(F.col("_body")),
+                "_similar": F.col("_body").rlike(similar_pattern),
+                "_tail": tail,
+            }
+        )
+        .drop("_body")
     )
-    answered = F.coalesce(F.col("answered"), F.lit(False)) & (text_or_empty(F.col("raw_json")) != "")
-    d = joined.withColumn("junk_phrase", junk_match(text)).withColumn(
+    answered = text_or_empty(F.col("raw_json")) != ""
+    v = F.col("v")
+    joined = scanned.join(verdicts.select(key, "raw_json"), key, "left").withColumn(
         "v", F.when(answered, parse_verdict(F.col("raw_json")))
     )
-    v = F.col("v")
-    evidence = F.lower(
-        F.concat_ws(
-            " ", text_or_empty(F.col("snippet")), text_or_empty(F.col("scraped")), text_or_empty(v["reason"])
-        )
+    said = F.concat(F.col("_tail"), F.lit(" "), F.lower(text_or_empty(v["reason"])))
+    d = joined.withColumn("_said", said).withColumns(
+        {
+            "software": F.col("_software") | software_in(F.col("_said")),
+            "similar": F.col("_similar") | F.col("_said").rlike(similar_pattern),
+        }
     )
+    software, similar = F.col("software"), F.col("similar")
     by_rule = F.col("junk_phrase").isNotNull()
-    software = (
-        F.lit(False)
-        if targets_software(target_industry)
-        else contains_any(evidence, rules.SOFTWARE_PHRASES)
-    )
-    similar = evidence.rlike("|".join(rules.SIMILAR_SERVICE_PATTERNS))
     believed = v["industry_match"] | v["match_missing"]
     lead_type = (
         F.when(similar, "HAS_SIMILAR_SERVICE")
@@ -120,7 +135,8 @@ def apply_verdicts(
         )
 
     d = d.select(
-        *[c for c in d.columns if c not in ("v", "raw_json", "answered")],
+        *[c for c in candidates.columns],
+        "junk_phrase",
         (by_rule | ~answered | v.isNotNull()).alias("evaluated"),
         F.when(by_rule, True)
         .otherwise(ruled(F.lit(False), v["is_junk"], v["is_junk"]))

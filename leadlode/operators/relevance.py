@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlode.functions.common import strip, text_or_empty
+from leadlode.functions.common import let, strip, text_or_empty
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 LONE_WEIGHT = math.log(1.5) + 1.0
@@ -34,27 +34,33 @@ def profile_counts(profile: str, stop_words=()) -> dict[str, int]:
     return dict(Counter(t for t in re.findall(r"\w{2,}", profile.lower()) if t not in stop))
 
 
-def token_counts(text: Column, stop_words=()) -> Column:
-    """``array<struct(token, n)>`` of a text: sort, then measure each run."""
-    tokens = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TOKEN), F.lit(0))
+def _tokens(text: Column, stop_words) -> Column:
+    found = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TOKEN), F.lit(0))
     stop_words = list(stop_words)
-    if stop_words:
-        tokens = F.filter(tokens, lambda t: ~t.isin(stop_words))
-    return _runs(F.array_sort(tokens))
+    return F.filter(found, lambda t: ~t.isin(stop_words)) if stop_words else found
 
 
-def _runs(ordered: Column) -> Column:
-    n = F.size(ordered)
-    starts = F.filter(
-        F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i)),
-        lambda i: i.isNotNull(),
-    )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    return F.zip_with(
-        starts,
-        F.when(F.size(starts) > 0, ends).otherwise(F.array().cast("array<int>")),
-        lambda a, b: F.struct(F.get(ordered, a).alias("token"), (b - a).cast("bigint").alias("n")),
-    )
+def token_counts(text: Column, stop_words=()) -> Column:
+    """``array<struct(token, n)>`` of a text: sort, then measure each run."""
+
+    def runs(s):
+        starts = F.filter(
+            F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)),
+            lambda i: i.isNotNull(),
+        )
+        n = F.size(s)
+        return let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda a, j: F.struct(
+                    F.get(s, a).alias("token"),
+                    (F.coalesce(F.get(at, j + 1), n) - a).cast("bigint").alias("n"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(_tokens(text, stop_words)), runs)
 
 
 def relevance_score(
@@ -68,45 +74,36 @@ def relevance_score(
     """``id, score`` of every text against the profile."""
     wanted = profile_counts(profile, stop_words)
     text = F.col(text_col)
-    tokens = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TOKEN), F.lit(0))
-    stop_words = list(stop_words)
-    if stop_words:
-        tokens = F.filter(tokens, lambda t: ~t.isin(stop_words))
-    blank = strip(text_or_empty(text)) == ""
-    # Each step is its own column, so that Spark computes it once per row.
-    d = docs.select(id_col, blank.alias("blank"), F.array_sort(tokens).alias("ordered"))
-    d = d.select(id_col, "blank", _runs(F.col("ordered")).alias("counts"))
+    d = docs.select(
+        id_col,
+        (strip(text_or_empty(text)) == "").alias("blank"),
+        token_counts(text, stop_words).alias("counts"),
+    )
 
     words = sorted(wanted)
-    weight = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(wanted[w]).cast("bigint"))]) if words else None
-    zero = F.lit(0).cast("bigint")
+    shared = F.filter("counts", lambda c: c["token"].isin(words)) if words else F.slice("counts", 1, 0)
+    d = d.select(id_col, "blank", "counts", shared.alias("shared"))
+    weights = [x for w in words for x in (F.lit(w), F.lit(wanted[w]).cast("bigint"))]
+    weight = F.create_map(*weights) if words else F.lit(None).cast("map<string,bigint>")
 
-    def total(of):
-        return F.aggregate("counts", zero, lambda acc, c: acc + of(c))
+    def total(entries, of):
+        return F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, c: acc + of(c))
 
-    def shared(c):
-        return c["token"].isin(words) if words else F.lit(False)
+    def in_profile(c):
+        return F.element_at(weight, c["token"])
 
     d = d.select(
         id_col,
         "blank",
         F.size("counts").alias("n_tokens"),
-        total(
-            lambda c: F.when(shared(c), c["n"] * F.element_at(weight, c["token"])).otherwise(zero)
-            if words else zero
-        ).alias("dot"),
-        total(lambda c: F.when(shared(c), c["n"] * c["n"]).otherwise(zero)).alias("both_doc"),
-        total(lambda c: F.when(shared(c), zero).otherwise(c["n"] * c["n"])).alias("only_doc"),
-        total(
-            lambda c: F.when(
-                shared(c), F.element_at(weight, c["token"]) * F.element_at(weight, c["token"])
-            ).otherwise(zero)
-            if words else zero
-        ).alias("both_profile"),
+        total("counts", lambda c: c["n"] * c["n"]).alias("all_doc"),
+        total("shared", lambda c: c["n"] * c["n"]).alias("both_doc"),
+        total("shared", lambda c: c["n"] * in_profile(c)).alias("dot"),
+        total("shared", lambda c: in_profile(c) * in_profile(c)).alias("both_profile"),
     )
     w2 = F.lit(LONE_WEIGHT * LONE_WEIGHT)
     all_profile = F.lit(sum(n * n for n in wanted.values())).cast("bigint")
-    doc_norm = F.sqrt(F.col("both_doc") + F.col("only_doc") * w2)
+    doc_norm = F.sqrt(F.col("both_doc") + (F.col("all_doc") - F.col("both_doc")) * w2)
     profile_norm = F.sqrt(F.col("both_profile") + (all_profile - F.col("both_profile")) * w2)
     score = (
         F.when(F.col("blank") | ((F.col("n_tokens") == 0) & F.lit(not wanted)), F.lit(NEUTRAL))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadlode.operators import candidates as CA
 from leadlode.operators import results_page as RP
 from leadlode.plans import views as V
-from leadlode.sources.readers import table
+from leadlode.sources.readers import table, text_table
 from leadlode.functions import urls
 
 
@@ -38,7 +38,7 @@ def candidate_running_totals(spark, folder):
 
 def _listed(spark, folder):
     """Hosts that show a German page: a rule table made of the data."""
-    pages = table(spark, folder, "pages").where(F.col("url").contains("/de/"))
+    pages = text_table(spark, folder, "pages", "page_id").where(F.col("url").contains("/de/"))
     return pages.select(urls.clean_domain(F.col("url")).alias("domain")).distinct()
 
 
@@ -53,7 +53,7 @@ def candidate_seen(spark, folder):
 
 
 def first_source_wins(spark, folder):
-    pages = V.hits(spark, folder).withColumn("page", F.floor(F.col("page_id") / 5))
+    pages = V.hits(spark, folder).withColumn("page", F.call_function("div", F.col("page_id"), F.lit(5)))
     one = pages.where(F.col("url").endswith(".html")).select("query", "page", "url", "title", "content")
     two = pages.where(F.col("url").contains("?")).select(
         "query", "page", "url", "title", F.col("content").alias("description")
@@ -78,7 +78,7 @@ def serp_rows(spark, folder):
         F.lit('href="/'),
         F.concat(F.lit('href="//redirect.test/l/?uddg=https%3A%2F%2F'), host, F.lit("%2F")),
     )
-    pages = table(spark, folder, "pages").select("page_id", dressed.alias("html"))
+    pages = text_table(spark, folder, "pages", "page_id").select("page_id", dressed.alias("html"))
     return RP.parse_result_pages(pages).select("page_id", "pos", "url", "title")
 
 

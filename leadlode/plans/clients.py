@@ -91,7 +91,7 @@ def _lead_rows(spark, folder):
 def upsert_leads(spark, folder):
     o = table(spark, folder, "orders")
     new = o.select(
-        F.concat(F.lit("lead-"), F.floor(F.col("o_orderkey") / 3).cast("string")).alias("id"),
+        F.concat(F.lit("lead-"), F.call_function("div", F.col("o_orderkey"), F.lit(3)).cast("string")).alias("id"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("company_name"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@mail.example")).alias("contact_email"),
         F.lit(1).alias("company_id"),
@@ -125,7 +125,7 @@ def client_scan(spark, folder):
 
 
 def client_search(spark, folder):
-    c = CL.search_clients(V.clients(spark, folder), q="an", industry="mach", min_score=20)
+    c = CL.search_clients(V.clients(spark, folder), q="tion_1", industry="mach", min_score=20)
     return c.select("id", "name", "industry", "country", "trust_score", "status")
 
 
@@ -224,7 +224,7 @@ SQL = {
     "client_scan": f"SELECT id, name FROM ({V.CLIENTS}) WHERE company_id = 7",
     "client_search": f"""
         SELECT id, name, industry, country, trust_score, status FROM ({V.CLIENTS})
-        WHERE (contains(lower(name), 'an') OR contains(lower(industry), 'an') OR contains(lower(country), 'an'))
+        WHERE (contains(lower(name), 'tion_1') OR contains(lower(industry), 'tion_1') OR contains(lower(country), 'tion_1'))
           AND contains(lower(industry), 'mach') AND trust_score >= 20""",
     "export_rows": f"""
         SELECT name AS client_name, website, industry, country, CAST(trust_score AS VARCHAR) AS trust_score, status,

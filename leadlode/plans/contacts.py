@@ -12,7 +12,8 @@ from leadlode.operators import evidence as EV
 from leadlode.operators import links as LI
 from leadlode.operators import metrics as ME
 from leadlode.plans import views as V
-from leadlode.sources.readers import table
+from leadlode.session import cut_lineage
+from leadlode.sources.readers import table, text_table
 
 # Words that do occur in the links of the test pages.
 LINK_WORDS = ("the", "los")
@@ -21,52 +22,50 @@ SUB_SKIP = ("was", "inly")
 
 
 def page_text(spark, folder):
-    t = EV.html_to_text(table(spark, folder, "pages"))
+    t = EV.html_to_text(text_table(spark, folder, "pages", "page_id"))
     return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def page_text_decoded(spark, folder):
-    t = EV.html_to_text(table(spark, folder, "pages"), decode=True)
+    t = EV.html_to_text(text_table(spark, folder, "pages", "page_id"), decode=True)
     return t.select("page_id", F.length("text").alias("n_chars"))
 
 
 def page_summaries(spark, folder):
-    t = EV.html_to_text(table(spark, folder, "pages"))
+    t = EV.html_to_text(text_table(spark, folder, "pages", "page_id"))
     return t.select("page_id", TX.page_summary(F.col("text"), F.lit("X")).alias("summary"))
 
 
 def doc_emails(spark, folder):
-    d = table(spark, folder, "documents")
+    d = text_table(spark, folder, "documents", "doc_id")
     return CO.extract_emails(d, blocked_words=V.NO_WORDS).select("doc_id", "email")
 
 
 def doc_emails_default(spark, folder):
-    return CO.extract_emails(table(spark, folder, "documents")).select("doc_id", "email")
+    return CO.extract_emails(text_table(spark, folder, "documents", "doc_id")).select("doc_id", "email")
 
 
 def doc_phones(spark, folder):
-    return CO.extract_phones(table(spark, folder, "documents")).select("doc_id", "pos", "phone")
+    return CO.extract_phones(text_table(spark, folder, "documents", "doc_id")).select("doc_id", "pos", "phone")
 
 
 def email_context(spark, folder):
-    d = table(spark, folder, "documents")
-    e = CO.extract_emails(d, blocked_words=V.NO_WORDS)
-    return e.join(d.select("doc_id", "text"), "doc_id").select(
-        "doc_id", "email", TX.source_context(F.col("text"), F.col("email")).alias("context")
-    )
+    d = text_table(spark, folder, "documents", "doc_id")
+    return CO.extract_emails(d, blocked_words=V.NO_WORDS).select("doc_id", "email", "context")
 
 
 def email_first_source(spark, folder):
     """Each address of a document with the first document that showed it."""
-    e = CO.extract_emails(table(spark, folder, "documents"), blocked_words=V.NO_WORDS)
+    d = text_table(spark, folder, "documents", "doc_id")
+    e = cut_lineage(CO.extract_emails(d, blocked_words=V.NO_WORDS).select("doc_id", "pos", "email"))
     meta = e.select("email", F.col("doc_id").alias("source_doc"), F.struct("doc_id", "pos").alias("at"))
     return CO.attach_email_meta(e, meta, pos="at").select("doc_id", "email", "source_doc")
 
 
 def _pages_with_docs(spark, folder):
     """Pages and, as further pages of their source, the documents."""
-    p = table(spark, folder, "pages")
-    d = table(spark, folder, "documents").select(
+    p = text_table(spark, folder, "pages", "page_id")
+    d = text_table(spark, folder, "documents", "doc_id").select(
         (F.col("doc_id") + 10**9).alias("page_id"),
         F.concat(F.lit("https://"), "source", F.lit(".example/doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("html"),
@@ -86,7 +85,8 @@ def contact_bundle(spark, folder):
 
 
 def contact_sources(spark, folder):
-    values = CO.contact_values(CO.mine_pages(_pages_with_docs(spark, folder), blocked_words=V.NO_WORDS))
+    mined = CO.mine_pages(_pages_with_docs(spark, folder), blocked_words=V.NO_WORDS)
+    values = cut_lineage(CO.contact_values(mined).where(F.col("kind") == "email"))
     return CO.email_sources(values, k=3).select(
         "site", "email", "n_sources", "source_label", F.array_join("sources.url", " ").alias("urls")
     )
@@ -106,20 +106,20 @@ def extraction_yield(spark, folder):
 
 
 def contact_links(spark, folder):
-    return LI.rank_contact_links(table(spark, folder, "pages"), k=4, words=LINK_WORDS)
+    return LI.rank_contact_links(text_table(spark, folder, "pages", "page_id"), k=4, words=LINK_WORDS)
 
 
 def subpages(spark, folder):
-    return LI.discover_subpages(table(spark, folder, "pages"), words=SUB_WORDS, skip_words=SUB_SKIP)
+    return LI.discover_subpages(text_table(spark, folder, "pages", "page_id"), words=SUB_WORDS, skip_words=SUB_SKIP)
 
 
 def evidence(spark, folder):
-    p = table(spark, folder, "pages")
+    p = text_table(spark, folder, "pages", "page_id")
     ranked = p.select(
         urls.clean_domain(F.col("url")).alias("site"),
         "url",
         F.col("page_id").alias("rank"),
-        TX.html_text(F.col("html")).alias("text"),
+        "html",
     )
     e = EV.assemble_evidence(ranked, min_chars=800)
     return e.select(

@@ -13,7 +13,7 @@ from leadlode.operators import qualify as QU
 from leadlode.operators import relevance as RE
 from leadlode.plans import candidates as PC
 from leadlode.plans import views as V
-from leadlode.sources.readers import table
+from leadlode.sources.readers import table, text_table
 
 PROFILE = "That tion with the heer and est une der die und les enting erre with services"
 STOP_WORDS = ("the", "and", "of", "to", "in")
@@ -21,7 +21,7 @@ INDUSTRY = "Pharma"
 
 
 def junk_rule(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "text")
+    d = text_table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return QU.flag_junk(d).select("doc_id", "is_junk", "matched")
 
 
@@ -37,11 +37,11 @@ def company_names(spark, folder):
 
 
 def relevance(spark, folder):
-    return RE.relevance_score(table(spark, folder, "documents"), PROFILE, STOP_WORDS)
+    return RE.relevance_score(text_table(spark, folder, "documents", "doc_id"), PROFILE, STOP_WORDS)
 
 
 def relevance_vs_label(spark, folder):
-    scores = RE.relevance_score(table(spark, folder, "documents"), PROFILE, STOP_WORDS, digits=None)
+    scores = RE.relevance_score(text_table(spark, folder, "documents", "doc_id"), PROFILE, STOP_WORDS, digits=None)
     truth = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("rating"))
     return ME.score_agreement(scores, truth, "doc_id").select(
         "n", F.round("r", 6).alias("r"), F.round("mae", 6).alias("mae")
@@ -81,7 +81,7 @@ def _answers(key, folder_table):
 
 
 def verdicts(spark, folder):
-    d = table(spark, folder, "documents")
+    d = text_table(spark, folder, "documents", "doc_id")
     c = d.select(
         "doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("name"),
         F.col("text").alias("snippet"), F.lit("").alias("scraped"),
@@ -97,12 +97,14 @@ def _evaluated(spark, folder):
     """Hits -> rules -> one per domain -> page text -> verdict -> gate."""
     cleaned = CA.filter_candidates(V.hits(spark, folder), excluded=V.EXCLUDED)
     kept = CA.dedupe_candidates(cleaned)
-    text = table(spark, folder, "pages").select("page_id", TX.html_text(F.col("html")).alias("scraped"))
-    c = kept.join(text, "page_id").select(
+    # Tags are removed after the join, from the pages that were kept.
+    html = text_table(spark, folder, "pages", "page_id").select("page_id", "html")
+    c = kept.join(html, "page_id").select(
         "page_id", "query", "page", "pos", "url", "domain", "title",
-        F.col("title").alias("name"), F.col("content").alias("snippet"), "scraped",
+        F.col("title").alias("name"), F.col("content").alias("snippet"),
+        TX.html_text(F.col("html")).alias("scraped"),
     )
-    answers = _answers("page_id", table(spark, folder, "pages").select("page_id"))
+    answers = _answers("page_id", text_table(spark, folder, "pages", "page_id").select("page_id"))
     return QU.accepted(QU.apply_verdicts(c, answers, INDUSTRY, key="page_id"))
 
 
@@ -134,8 +136,8 @@ QUERIES = {
     )
 }
 
-_DIR = V.q(rules.any_of(rules.DIRECTORY_PATTERNS))
-_LIST = V.q(rules.any_of(rules.LISTICLE_PATTERNS))
+_DIR = V.q(V.plain_any_of(rules.DIRECTORY_PATTERNS))
+_LIST = V.q(V.plain_any_of(rules.LISTICLE_PATTERNS))
 
 
 def sql_junk(text: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadlode import rules
 from leadlode.functions import text as TX
-from leadlode.sources.readers import table
+from leadlode.sources.readers import table, text_table
 
 # Hosts of the test pages lie under example.com, .net and .org.
 EXCLUDED = (*rules.STARTER_EXCLUDED_DOMAINS, "spam-farm.example.org", "tiontion.example.com", "example.org")
@@ -32,6 +32,10 @@ def words_regex(words) -> str:
     return "(" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + ")"
 
 
+def plain_any_of(patterns) -> str:
+    return "(?i)(" + "|".join(patterns) + ")"
+
+
 def has_word(expr: str, words) -> str:
     return f"regexp_matches({expr}, {q(words_regex(words))})"
 
@@ -57,10 +61,10 @@ def sql_path(url: str) -> str:
 
 # ---- search hits ------------------------------------------------------------
 def hits(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return text_table(spark, folder, "pages", "page_id").select(
         "page_id",
         F.lit("all").alias("query"),
-        F.floor(F.col("page_id") / 20).alias("page"),
+        F.call_function("div", F.col("page_id"), F.lit(20)).alias("page"),
         (F.col("page_id") % 20).alias("pos"),
         "url",
         TX.html_title(F.col("html")).alias("title"),
@@ -88,7 +92,7 @@ def sql_reason(excluded) -> str:
       WHEN {_under("domain", excluded)} THEN 'excluded_domain'
       WHEN contains(domain, '.gov') OR contains(domain, '.mil') THEN 'government'
       WHEN {has_word("lower(url)", rules.URL_SKIP_FRAGMENTS)} THEN 'url_pattern'
-      WHEN regexp_matches(title, {q(rules.any_of(rules.LISTICLE_PATTERNS))}) THEN 'listicle_title'
+      WHEN regexp_matches(title, {q(plain_any_of(rules.LISTICLE_PATTERNS))}) THEN 'listicle_title'
       WHEN NOT (NOT regexp_matches(domain, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')
                 AND regexp_matches(domain, '(^|\\.)[^.]{{2,}}\\.[^.]+$')
                 AND NOT regexp_matches(domain, '\\.\\d+$')

@@ -14,6 +14,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, spread over the cores when its file is small.
+
+    A file below one split per core comes as a handful of tasks however many
+    cores wait, and text rules are work per character.  Such a table is hashed on
+    its key once.  A large table already has a split for every core and is read
+    as it lies, with no shuffle.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
     """Country file (one JSON array) as ``country, code, cities``."""
     return spark.read.schema(schemas.COUNTRIES).option("multiLine", True).json(path)
