@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from leadlode import rules
 from leadlode.functions import text, urls
 from leadlode.functions.common import text_or_empty
+from leadlode.operators.ordered import running_sums
 
 
 def normalize_hits(
@@ -157,18 +158,8 @@ def running_totals(candidates: DataFrame, run_cols=("query",), accepted: str = "
     per_page = candidates.groupBy(*run_cols, "page").agg(
         F.count("*").alias("processed"), F.count_if(F.col(accepted)).alias("qualified")
     )
-    upto = (
-        Window.partitionBy(*run_cols)
-        .orderBy("page")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return per_page.select(
-        *run_cols,
-        "page",
-        "processed",
-        "qualified",
-        F.sum("processed").over(upto).alias("processed_total"),
-        F.sum("qualified").over(upto).alias("qualified_total"),
+    return running_sums(
+        per_page, run_cols, "page", {"processed": "processed_total", "qualified": "qualified_total"}
     )
 
 

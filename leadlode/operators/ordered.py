@@ -40,3 +40,31 @@ def numbered_rows(df: DataFrame, keys, id_col: str, into: str = "nth", rows: int
         .withColumn(into, F.col("_before") + F.col("_in_chunk"))
         .drop("_chunk", "_in_chunk", "_before")
     )
+
+
+def running_sums(df: DataFrame, keys, order: str, sums: dict[str, str], rows: int = 1 << 16) -> DataFrame:
+    """Running totals per key in the order of a unique integer column.
+
+    ``sums`` maps a column to the name of its running total.
+    """
+    keys = list(keys)
+    df = df.withColumn("_chunk", id_chunk(order, rows))
+    whole = df.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = (
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = whole.select(
+        *keys, "_chunk", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums]
+    )
+    so_far = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        df.repartition(*keys, "_chunk")
+        .withColumns({into: F.sum(c).over(so_far) for c, into in sums.items()})
+        .join(offsets, [*keys, "_chunk"])
+        .withColumns({into: F.col(into) + F.col(f"_{c}") for c, into in sums.items()})
+        .drop("_chunk", *[f"_{c}" for c in sums])
+    )

@@ -63,7 +63,7 @@ def sql_path(url: str) -> str:
 def hits(spark: SparkSession, folder: str) -> DataFrame:
     return text_table(spark, folder, "pages", "page_id").select(
         "page_id",
-        F.lit("all").alias("query"),
+        F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("query"),
         F.call_function("div", F.col("page_id"), F.lit(20)).alias("page"),
         (F.col("page_id") % 20).alias("pos"),
         "url",
@@ -73,7 +73,7 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 HITS = f"""
-  SELECT page_id, 'all' AS query, page_id // 20 AS page, page_id % 20 AS pos, url,
+  SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]{{2}})/', 1) AS query, page_id // 20 AS page, page_id % 20 AS pos, url,
          {sql_squeeze("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
          {sql_domain("url")} AS domain
   FROM pages"""

@@ -8,6 +8,7 @@ from leadlode.functions import text as TX
 from leadlode import rules
 from leadlode.operators import candidates as CA
 from leadlode.operators import results_page as RP
+from leadlode.operators.ordered import running_sums
 
 HIT = "query string, page int, pos int, url string, title string, content string"
 
@@ -88,6 +89,17 @@ def test_sources_and_totals(spark):
     assert rows == {("q", 1): (2, 1), ("q", 3): (3, 2), ("r", 1): (1, 0)}
 
 
+def test_running_sums_over_several_chunks(spark):
+    rows = [("hot", i, i % 7) for i in range(0, 900, 3)] + [("b", 5, 1), ("b", 70, 2)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    total, want = {}, set()
+    for k, o, v in sorted(rows):
+        total[k] = total.get(k, 0) + v
+        want.add((k, o, total[k]))
+    got = {(r.k, r.o, r.t) for r in running_sums(df, ["k"], "o", {"v": "t"}, rows=50).collect()}
+    assert got == want
+
+
 def test_seen_domains_stay_out(spark):
     h = CA.with_domain(hits(spark, (1, 0, "https://a1.com/", ""), (1, 1, "https://b1.com/", "")))
     seen = spark.createDataFrame([("a1.com",)], "domain string")
