@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}]"
 
+# --- Fixed values: every Unicode white-space character ----------------------
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def squeeze(c: Column) -> Column:
@@ -42,11 +49,17 @@ def literal_alternation(words) -> str:
 
 
 def contains_any(c: Column, words) -> Column:
-    """True when ``c`` holds one of the words; one regex pass over the text."""
+    """True when ``c`` holds one of the words.
+
+    A few words are looked up one by one, which beats a regex; a long list is one
+    regex pass over the text.
+    """
     words = list(words)
     if not words:
         return F.lit(False)
-    return c.rlike(literal_alternation(words))
+    if len(words) > 12:
+        return c.rlike(literal_alternation(words))
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
 def let(value: Column, body) -> Column:

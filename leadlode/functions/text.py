@@ -86,6 +86,18 @@ def source_context(text: Column, term: Column, reach: int = 50) -> Column:
     ).otherwise(F.lit("Extracted from page content"))
 
 
+def heading_before(text: Column, term: Column) -> Column:
+    """The last markdown heading above the first occurrence of a term, else NULL."""
+    at = F.position(F.lower(term), F.lower(text))
+    above = F.substr(text, F.lit(1), F.greatest(at - 1, F.lit(0)))
+    found = F.when(
+        (at > 0) & text.contains("#"),
+        F.regexp_extract_all(above, F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1)),
+    )
+    named = F.filter(F.transform(found, strip), lambda h: ~h.startswith("SOURCE_URL:"))
+    return F.try_element_at(named, F.lit(-1))
+
+
 def page_summary(text: Column, company: Column, limit: int = 200) -> Column:
     """Start of a page in plain words, or a neutral sentence when it is blank."""
     t = F.regexp_replace(text_or_empty(text), r"\[([^\]]+)\]\([^)]+\)", "$1")

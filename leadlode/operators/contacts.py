@@ -53,6 +53,7 @@ def mine_pages(
             "page_id",
             "url",
             "site",
+            "text",
             C.page_emails(F.col("text"), F.col("html"), blocked_words, asset_extensions).alias("emails"),
             C.find_phones(F.col("text")).alias("phones"),
             C.find_profiles(F.col("html")).alias("profiles"),
@@ -64,26 +65,37 @@ def mine_pages(
 def contact_values(mined: DataFrame) -> DataFrame:
     """One row per contact and page: ``site, kind, value, key, url, page_id, pos``.
 
+    An e-mail also has the heading (or page name) above it as ``label`` and the text
+    around it as ``context``.
+
     Every page also gives a ``page`` row, and a ``section`` row when it shows a
     contact section, so that one pass over the pages answers for a whole site.
     """
 
-    def of_kind(kind, values, fold=False):
+    def of_kind(kind, values, key=lambda v: v, label=None, context=None):
+        none = F.lit(None).cast("string")
         return F.transform(
             values,
             lambda v, i: F.struct(
                 F.lit(kind).alias("kind"),
                 v.alias("value"),
-                (F.lower(v) if fold else v).alias("key"),
+                key(v).alias("key"),
                 i.alias("pos"),
+                (none if label is None else label(v)).alias("label"),
+                (none if context is None else context(v)).alias("context"),
             ),
         )
 
+    text = F.col("text")
     blank = F.array(F.lit(""))
     everything = F.concat(
         of_kind("page", blank),
         of_kind("section", F.when(F.col("has_contact_section"), blank).otherwise(F.slice(blank, 1, 0))),
-        of_kind("email", F.col("emails"), fold=True),
+        of_kind(
+            "email", F.col("emails"), F.lower,
+            label=lambda v: F.coalesce(TX.heading_before(text, v), urls.page_name(F.col("url"))),
+            context=lambda v: TX.source_context(text, v),
+        ),
         of_kind("phone", F.col("phones")),
         of_kind("company_profile", F.array_compact(F.array(F.col("profiles.company")))),
         of_kind("people_profile", F.col("profiles.people")),
@@ -97,6 +109,7 @@ def distinct_contacts(values: DataFrame) -> DataFrame:
     return values.groupBy("site", "kind", "key").agg(
         F.min_by("value", sight).alias("value"),
         F.min_by("url", sight).alias("source_url"),
+        F.min_by("context", sight).alias("context"),
         F.min(sight).alias("first_seen"),
         F.count("*").alias("n_sources"),
     )
@@ -121,7 +134,7 @@ def email_sources(values: DataFrame, k: int = 14) -> DataFrame:
             F.min_by("value", "rnk").alias("email"),
             F.sort_array(
                 F.collect_list(
-                    F.struct("rnk", "url", urls.page_name(F.col("url")).alias("page"))
+                    F.struct("rnk", "url", urls.page_name(F.col("url")).alias("page"), "label")
                 )
             ).alias("sources"),
         )
@@ -131,7 +144,8 @@ def email_sources(values: DataFrame, k: int = 14) -> DataFrame:
         "email",
         "n_sources",
         F.transform(
-            "sources", lambda s: F.struct(s["url"].alias("url"), s["page"].alias("page"))
+            "sources",
+            lambda s: F.struct(s["url"].alias("url"), s["page"].alias("page"), s["label"].alias("label")),
         ).alias("sources"),
         F.array_join(F.transform("sources", lambda s: s["page"]), ", ").alias("source_label"),
     )
@@ -156,6 +170,7 @@ def contact_bundle(pages: DataFrame, **options) -> DataFrame:
         first("value", "company_profile").alias("company_profile"),
         first("value", "people_profile").alias("people_profile"),
         first("source_url", "email").alias("email_url"),
+        first("context", "email").alias("email_context"),
     )
     usual_page = F.concat(F.lit("https://"), F.col("site"), F.lit("/contact-us"))
     return per_site.select(
@@ -172,6 +187,13 @@ def contact_bundle(pages: DataFrame, **options) -> DataFrame:
         .when(F.col("has_contact_section"), "Contact page available — visit directly")
         .otherwise("No direct contact info found")
         .alias("source_label"),
+        F.when(F.col("primary_email").isNotNull(), F.col("email_context"))
+        .when(
+            F.col("has_contact_section"),
+            "Interactive or structured contact section available on website",
+        )
+        .otherwise("Extracted from page content")
+        .alias("source_context"),
         (F.col("n_emails") + F.col("n_phones") + F.col("n_profiles") > 0).alias("found"),
     )
 
@@ -196,6 +218,22 @@ def pick_external_contact(contacts: DataFrame, keys=("domain",), pos: str = "pos
     )
 
 
+def fill_from_external(
+    bundles: DataFrame, external: DataFrame, label: str = "External contact data"
+) -> DataFrame:
+    """Use an outside contact (``site, email``, one per site) where a site showed none."""
+    given = external.select("site", or_none(F.col("email")).alias("_given"))
+    use = F.col("primary_email").isNull() & F.col("_given").isNotNull()
+    return (
+        bundles.join(given, "site", "left")
+        .withColumn("source_label", F.when(use, label).otherwise(F.col("source_label")))
+        .withColumn("n_emails", F.col("n_emails") + F.when(use, 1).otherwise(0))
+        .withColumn("found", F.col("found") | use)
+        .withColumn("primary_email", F.coalesce("primary_email", "_given"))
+        .drop("_given")
+    )
+
+
 def attach_email_meta(emails: DataFrame, meta: DataFrame, pos: str = "pos") -> DataFrame:
     """Left-join each address to its first metadata row, ignoring case."""
     w = Window.partitionBy("_key").orderBy(pos)

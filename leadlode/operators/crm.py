@@ -9,6 +9,7 @@ from leadlode import rules, schemas
 from leadlode.functions.common import or_none, text_or_empty
 from leadlode.operators.components import connected_components
 from leadlode.operators.ordered import numbered_rows
+from leadlode.session import cut_lineage
 
 
 def label_of(email_type: Column, nth: Column) -> Column:
@@ -62,7 +63,7 @@ def upsert_clients(
     ``company_id, name, seq`` and any of the client fields.
 
     Starts Spark jobs at once, since the linking runs to a fixpoint.  Rows are
-    reduced per name before they are linked, so a hot name or website never meets
+    reduced per name and website before they are linked, so a hot name never meets
     a join row by row.
     """
     fields = [f for f in (fields or schemas.CLIENT_FIELDS) if f in old.columns and f in new.columns]
@@ -77,38 +78,40 @@ def upsert_clients(
         site = key_of("w", "website") if "website" in df.columns else F.lit(None).cast("string")
         return df.withColumn("_name", key_of("n", "name")).withColumn("_site", site)
 
-    incoming = keyed(new)
-    per_name = incoming.groupBy("company_id", "_name").agg(
-        *[_latest(f, F.col(seq)).alias(f) for f in fields], F.min(seq).alias("_first")
+    # One pass over the batch; all that follows works on this reduced table.
+    folded = cut_lineage(
+        keyed(new)
+        .groupBy("company_id", "_name", "_site")
+        .agg(*[_latest(f, F.col(seq)).alias(f) for f in fields], F.min(seq).alias("_first"))
     )
-
-    pairs = incoming.select("_name", "_site").distinct()
+    pairs = folded.select("_name", "_site")
     wanted = pairs.select(F.col("_name").alias("_key")).union(pairs.select("_site")).where(
         F.col("_key").isNotNull()
     ).distinct()
-    stored = keyed(old).select("id", "_name", "_site")
     stored_keys = (
-        stored.select("id", F.explode(F.array_compact(F.array("_name", "_site"))).alias("_key"))
+        keyed(old)
+        .select("id", F.explode(F.array_compact(F.array("_name", "_site"))).alias("_key"))
         .join(wanted, "_key", "left_semi")
     )
-    # A stored row links the incoming keys it carries.
-    stored_node = F.concat(F.lit("o|"), F.col("id").cast("string"))
+    # A stored row links two incoming keys when it carries both.
+    both = stored_keys.groupBy("id").agg(F.min("_key").alias("src"), F.max("_key").alias("dst"))
     edges = (
-        pairs.where(F.col("_site").isNotNull()).select(F.col("_name").alias("src"), F.col("_site").alias("dst"))
-        .union(stored_keys.select(stored_node, F.col("_key")))
+        pairs.where(F.col("_site").isNotNull())
+        .select(F.col("_name").alias("src"), F.col("_site").alias("dst"))
+        .union(both.select("src", "dst"))
     )
     labels = connected_components(edges)
 
     per_client = (
-        per_name.join(labels.withColumnRenamed("node", "_name"), "_name", "left")
+        folded.join(labels.withColumnRenamed("node", "_name"), "_name", "left")
         .withColumn("_label", F.coalesce("label", "_name"))
         .groupBy("company_id", "_label")
         .agg(*[F.max(f).alias(f) for f in fields], F.min("_first").alias("_first"))
     )
     oldest = (
-        labels.where(F.col("node").startswith("o|"))
-        .groupBy(F.col("label").alias("_label"))
-        .agg(F.min(F.substring("node", 3, 40).cast("bigint")).alias("_id"))
+        stored_keys.join(labels.withColumnRenamed("node", "_key"), "_key", "left")
+        .groupBy(F.coalesce("label", "_key").alias("_label"))
+        .agg(F.min("id").alias("_id"))
     )
     saved = per_client.join(oldest, "_label", "left").select(
         "_id", "_first", "company_id", *[F.col(f)["value"].alias(f) for f in fields]

@@ -80,7 +80,7 @@ def _bundles(spark, folder):
 def contact_bundle(spark, folder):
     return _bundles(spark, folder).select(
         "site", "n_pages", "n_emails", "n_phones", "primary_email", "primary_phone",
-        "contact_url", "source_label", "found",
+        "contact_url", "source_label", "source_context", "found",
     )
 
 
@@ -164,6 +164,13 @@ def _valid(email: str, blocked) -> str:
         AND NOT {V.has_word(e, blocked)})"""
 
 
+def sql_context(text: str) -> str:
+    s = f"strpos(lower({text}), lower(email))"
+    a, z = f"greatest({s} - 50, 1)", f"least({s} + length(email) + 50, length({text}) + 1)"
+    cut = f"replace(substr({text}, CAST({a} AS BIGINT), CAST({z} - {a} AS BIGINT)), chr(10), ' ')"
+    return f"CASE WHEN {s} > 0 THEN left({V.sql_strip(cut)}, 100) ELSE 'Extracted from page content' END"
+
+
 def sql_emails(source: str, key: str, text: str, blocked) -> str:
     """Valid addresses, first per lower-case spelling, with their position."""
     return f"""
@@ -193,7 +200,7 @@ _MINED = f"""
   pg AS (SELECT page_id, url, {V.sql_domain('url')} AS site, {sql_text('html')} AS text, html FROM ({_ALL_PAGES})),
   em AS ({sql_emails("pg", "page_id", "text || ' ' || html", V.NO_WORDS)}),
   ph AS ({sql_phones("pg", "page_id", "text")}),
-  e1 AS (SELECT site, lower(email) AS k, email, url, page_id, pos FROM em JOIN pg USING (page_id)),
+  e1 AS (SELECT site, lower(email) AS k, email, url, page_id, pos, {sql_context('text')} AS ctx FROM em JOIN pg USING (page_id)),
   p1 AS (SELECT site, phone, url, page_id, pos FROM ph JOIN pg USING (page_id))"""
 _NAME = """CASE WHEN rtrim(P, '/') = '' THEN 'Homepage' WHEN contains(lower(P), 'contact') THEN 'Contact Page'
   WHEN contains(lower(P), 'about') THEN 'About Page' WHEN contains(lower(P), 'team') THEN 'Team Page'
@@ -209,7 +216,7 @@ _BUNDLE = f"""
   s AS (SELECT site, count(*) AS n_pages,
           bool_or({V.has_word('lower(text)', rules.CONTACT_SECTION_WORDS)}) AS sect FROM pg GROUP BY site),
   e2 AS (SELECT site, count(DISTINCT k) AS n_emails, arg_min(email, (page_id, pos)) AS primary_email,
-           arg_min(url, (page_id, pos)) AS email_url FROM e1 GROUP BY site),
+           arg_min(url, (page_id, pos)) AS email_url, arg_min(ctx, (page_id, pos)) AS ctx FROM e1 GROUP BY site),
   p2 AS (SELECT site, count(DISTINCT phone) AS n_phones, arg_min(phone, (page_id, pos)) AS primary_phone
          FROM p1 GROUP BY site)
   SELECT site, n_pages, coalesce(n_emails, 0) AS n_emails, coalesce(n_phones, 0) AS n_phones,
@@ -217,6 +224,8 @@ _BUNDLE = f"""
     CASE WHEN primary_email IS NOT NULL THEN {sql_page_name('email_url')}
          WHEN sect THEN 'Contact page available — visit directly'
          ELSE 'No direct contact info found' END AS source_label,
+    CASE WHEN primary_email IS NOT NULL THEN ctx WHEN sect THEN 'Interactive or structured contact section available on website'
+         ELSE 'Extracted from page content' END AS source_context,
     coalesce(n_emails, 0) + coalesce(n_phones, 0) > 0 AS found
   FROM s LEFT JOIN e2 USING (site) LEFT JOIN p2 USING (site)"""
 
@@ -244,12 +253,7 @@ SQL = {
     + sql_emails("documents", "doc_id", "text", rules.BLOCKED_EMAIL_WORDS) + ")",
     "doc_phones": sql_phones("documents", "doc_id", "text"),
     "email_context": f"""
-        SELECT doc_id, email, left({V.sql_strip(
-            "replace(substr(text, CAST(a AS BIGINT), CAST(z - a AS BIGINT)), chr(10), ' ')"
-        )}, 100) AS context
-        FROM (SELECT doc_id, email, text, greatest(s - 50, 1) AS a, least(s + length(email) + 50, length(text) + 1) AS z
-              FROM (SELECT doc_id, email, text, strpos(lower(text), lower(email)) AS s
-                    FROM ({_EMAILS}) JOIN documents USING (doc_id)))""",
+        SELECT doc_id, email, {sql_context("text")} AS context FROM ({_EMAILS}) JOIN documents USING (doc_id)""",
     "email_first_source": f"""
         WITH e AS ({_EMAILS})
         SELECT doc_id, email, min(doc_id) OVER (PARTITION BY lower(email)) AS source_doc FROM e""",

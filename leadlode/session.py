@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "leadlode", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution and skew-join splitting on."""
     builder = SparkSession.builder.appName(app)
@@ -34,9 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="leadlode-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="leadlode-ckpt-")
+    return _LOCAL_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

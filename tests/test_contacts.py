@@ -121,6 +121,16 @@ def test_bundle_of_a_site(spark):
     assert s.n_sources == 2 and s.source_label == "Homepage, Contact Page"
 
 
+def test_heading_above_and_external_fill(spark, evaluate):
+    text = "# Intro\n## Sales team\nx a@b.cc\n### SOURCE_URL: u\nb@c.dd\n# After"
+    got = evaluate(TX.heading_before(F.col("t"), F.col("e")), [(text, "a@b.cc"), (text, "B@C.dd"), ("a@b.cc", "a@b.cc"), (text, "zz")], "t string, e string")
+    assert got == ["Sales team", "Sales team", None, None]
+    b = spark.createDataFrame([("a", None, "No", 0, False), ("b", "x@b", "Homepage", 1, True)], "site string, primary_email string, source_label string, n_emails bigint, found boolean")
+    e = spark.createDataFrame([("a", "out@a"), ("b", "out@b")], "site string, email string")
+    got = {r.site: (r.primary_email, r.source_label, r.n_emails, r.found) for r in CO.fill_from_external(b, e).collect()}
+    assert got == {"a": ("out@a", "External contact data", 1, True), "b": ("x@b", "Homepage", 1, True)}
+
+
 def test_contact_links(spark):
     pages = spark.createDataFrame([(1, "https://acme.org/x/", PAGE)], "page_id bigint, url string, html string")
     got = [(r.url, r.score) for r in LI.rank_contact_links(pages).orderBy("rnk").collect()]
