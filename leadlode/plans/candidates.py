@@ -48,8 +48,9 @@ def candidate_rule_table(spark, folder):
 
 
 def candidate_seen(spark, folder):
-    hits = CA.with_domain(V.hits(spark, folder))
-    return CA.exclude_seen(hits, _listed(spark, folder)).groupBy("domain").agg(F.count("*").alias("n"))
+    # Counted first, so that the anti-join meets one row per domain.
+    found = CA.with_domain(V.hits(spark, folder)).groupBy("domain").agg(F.count("*").alias("n"))
+    return CA.exclude_seen(found, _listed(spark, folder))
 
 
 def first_source_wins(spark, folder):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadlode import rules
 from leadlode.functions import text as TX
 from leadlode.functions import urls
+from leadlode.functions.common import last_value_distinct_by
 from leadlode.operators import contacts as CO
 from leadlode.operators import evidence as EV
 from leadlode.operators import links as LI
@@ -128,6 +129,29 @@ def evidence(spark, folder):
     )
 
 
+def contact_pages(spark, folder):
+    """Addresses to visit for contacts: the usual ones, then the page's best links."""
+    p = text_table(spark, folder, "pages", "page_id")
+    site = F.concat(F.lit("https://"), urls.clean_domain(F.col("url")), F.lit("/"))
+    best = F.transform(LI.contact_links(F.col("html"), F.col("url"), 8, words=LINK_WORDS), lambda l: l["url"])
+    return p.select("page_id", F.posexplode(LI.candidate_pages(site, best)).alias("pos", "url"))
+
+
+def evidence_choice(spark, folder):
+    d = text_table(spark, folder, "documents", "doc_id")
+    snippet = F.regexp_extract("text", r"^([^\n]*)", 1)
+    page = F.when(F.col("lang") == "en", F.col("text")).otherwise("")
+    e = EV.choose_evidence(page, snippet, F.when(F.col("lang") == "de", "never used"))
+    return d.select("doc_id", e.alias("e")).select("doc_id", F.md5("e.text").alias("digest"), "e.source")
+
+
+def last_spellings(spark, folder):
+    """Distinct words of a turn: first place, last spelling."""
+    c = table(spark, folder, "conversations")
+    words = last_value_distinct_by(F.split("text", " "), F.lower)
+    return c.select("conv_id", "turn", F.md5(F.array_join(words, " ")).alias("digest"))
+
+
 def external_contact(spark, folder):
     c = V.clients(spark, folder).select(
         F.col("country").alias("domain"), F.col("email").alias("value"),
@@ -142,7 +166,7 @@ QUERIES = {
     for f in (
         page_text, page_text_decoded, page_summaries, doc_emails, doc_emails_default, doc_phones,
         email_context, email_first_source, contact_bundle, contact_sources, extraction_yield,
-        contact_links, subpages, evidence, external_contact,
+        contact_links, subpages, evidence, external_contact, contact_pages, evidence_choice, last_spellings,
     )
 }
 
@@ -237,7 +261,44 @@ _LINK_HOST = "replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), 'www.', '')"
 _BASE_HOST = "replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'www.', '')"
 _AFTER_HOST = "lower(regexp_extract(u, '://[^/?#]*([^#]*)', 1))"
 
+_LINKS = f"""
+        WITH h AS (SELECT page_id, url,
+            regexp_extract_all(regexp_extract(html, '(?i)<footer[^>]*>([\\s\\S]*?)</footer>', 1), {V.q(LI.HREF)}, 1) ||
+            regexp_extract_all(regexp_extract(html, '(?i)<nav[^>]*>([\\s\\S]*?)</nav>', 1), {V.q(LI.HREF)}, 1) AS framed,
+            regexp_extract_all(html, {V.q(LI.HREF)}, 1) AS every FROM pages),
+        x AS (SELECT page_id, url, len(framed) AS nf, unnest(framed || every) AS h,
+                     generate_subscripts(framed || every, 1) AS p FROM h),
+        a AS (SELECT *, {_ABS} AS u FROM x
+              WHERE NOT regexp_matches(h, '^(mailto:|tel:|javascript:)')
+                AND NOT regexp_matches(h, '(?i)\\.(pdf|jpg|jpeg|png|gif|svg|zip|mp4|webp|ico|css|js|xml|txt)$')),
+        d AS (SELECT page_id, u, min(p) AS p, bool_or(p <= nf) AS framed FROM a
+              WHERE {_LINK_HOST} IN ('', {_BASE_HOST}) GROUP BY page_id, u),
+        s AS (SELECT page_id, u, p, CASE WHEN framed THEN 5 ELSE 0 END +
+                     CASE WHEN {V.has_word(_AFTER_HOST, LINK_WORDS)} THEN 3 ELSE 0 END AS score FROM d),
+        ranked AS (SELECT page_id, u AS url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, p) AS rnk
+                   FROM s WHERE score > 0)"""
+_USUAL = ", ".join(V.q(p) for p in rules.CONTACT_PAGE_PATHS)
+
 SQL = {
+    "contact_pages": f"""
+        {_LINKS},
+        pg AS (SELECT page_id, 'https://' || {V.sql_domain('url')} AS base FROM pages),
+        c AS (SELECT page_id, base || '/' AS url, 0 AS o FROM pg UNION ALL
+              SELECT page_id, base || unnest([{_USUAL}]), unnest(range(1, {len(rules.CONTACT_PAGE_PATHS) + 1})) FROM pg UNION ALL
+              SELECT page_id, url, 100 + rnk FROM ranked WHERE rnk <= 8),
+        g AS (SELECT page_id, url, min(o) AS o FROM c GROUP BY page_id, url)
+        SELECT page_id, CAST(k - 1 AS INTEGER) AS pos, url FROM (
+          SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o) AS k FROM g) WHERE k <= 14""",
+    "evidence_choice": f"""
+        WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN {V.sql_strip("text")} ELSE '' END AS t,
+                          {V.sql_strip("split_part(text, chr(10), 1)")} AS s FROM documents)
+        SELECT doc_id, md5(CASE WHEN length(t) > 200 THEN t WHEN length(s) > 30 THEN s ELSE '(no content available)' END) AS digest,
+          CASE WHEN length(t) > 200 THEN 'scraped website content' WHEN length(s) > 30 THEN 'search snippet only' ELSE 'none' END AS source
+        FROM d""",
+    "last_spellings": """
+        WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM conversations),
+        g AS (SELECT conv_id, turn, min(p) AS p, arg_max(w, p) AS w FROM w GROUP BY conv_id, turn, lower(w))
+        SELECT conv_id, turn, md5(string_agg(w, ' ' ORDER BY p)) AS digest FROM g GROUP BY conv_id, turn""",
     "page_text": f"""
         SELECT page_id, length(t) AS n_chars, md5(t) AS digest
         FROM (SELECT page_id, {sql_text('html')} AS t FROM pages)""",
@@ -277,22 +338,7 @@ SQL = {
           count(*) FILTER (found AND ok) / count(*) FILTER (found) AS precision
         FROM f GROUP BY field""",
     "contact_links": f"""
-        WITH h AS (SELECT page_id, url,
-            regexp_extract_all(regexp_extract(html, '(?i)<footer[^>]*>([\\s\\S]*?)</footer>', 1), {V.q(LI.HREF)}, 1) ||
-            regexp_extract_all(regexp_extract(html, '(?i)<nav[^>]*>([\\s\\S]*?)</nav>', 1), {V.q(LI.HREF)}, 1) AS framed,
-            regexp_extract_all(html, {V.q(LI.HREF)}, 1) AS every FROM pages),
-        x AS (SELECT page_id, url, len(framed) AS nf, unnest(framed || every) AS h,
-                     generate_subscripts(framed || every, 1) AS p FROM h),
-        a AS (SELECT *, {_ABS} AS u FROM x
-              WHERE NOT regexp_matches(h, '^(mailto:|tel:|javascript:)')
-                AND NOT regexp_matches(h, '(?i)\\.(pdf|jpg|jpeg|png|gif|svg|zip|mp4|webp|ico|css|js|xml|txt)$')),
-        d AS (SELECT page_id, u, min(p) AS p, bool_or(p <= nf) AS framed FROM a
-              WHERE {_LINK_HOST} IN ('', {_BASE_HOST}) GROUP BY page_id, u),
-        s AS (SELECT page_id, u, p, CASE WHEN framed THEN 5 ELSE 0 END +
-                     CASE WHEN {V.has_word(_AFTER_HOST, LINK_WORDS)} THEN 3 ELSE 0 END AS score FROM d)
-        SELECT page_id, url, score, CAST(rnk AS INTEGER) AS rnk FROM (
-          SELECT page_id, u AS url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, p) AS rnk
-          FROM s WHERE score > 0) WHERE rnk <= 4""",
+        {_LINKS} SELECT page_id, url, score, CAST(rnk AS INTEGER) AS rnk FROM ranked WHERE rnk <= 4""",
     "subpages": f"""
         WITH h AS (SELECT page_id, url, regexp_extract_all(html, {V.q(LI.ANCHOR)}, 1) AS hs,
                           regexp_extract_all(html, {V.q(LI.ANCHOR)}, 2) AS ts FROM pages),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadlode.functions.urls import website_or_guess
 from leadlode.operators import outreach as OU
 from leadlode.plans import views as V
 from leadlode.sources.readers import table
@@ -65,7 +66,29 @@ def suggestion_rows(spark, folder):
     return s.select("id", "industry", "reason")
 
 
-QUERIES = {f.__name__: f for f in (mail_merge, draft_parse, reply_fields, suggestion_rows)}
+def outreach_hints(spark, folder):
+    """Whom to write to, what to try first, and a guessed site where none is stored."""
+    c = V.clients(spark, folder)
+    site = F.when(F.col("trust_score") % 2 == 0, F.col("website"))
+    guess = website_or_guess(site, F.col("name"))
+    profile = F.when(F.col("trust_score") > 40, "https://linkedin.com/company/x")
+    return c.select(
+        "id", guess["url"].alias("url"), guess["is_guessed"].alias("is_guessed"),
+        OU.outreach_suggestion(F.col("email"), profile, guess["url"]).alias("hint"),
+    )
+
+
+def company_profiles(spark, folder):
+    c = V.clients(spark, folder)
+    services = F.when(F.col("trust_score") > 50, F.lower("industry")).otherwise("")
+    text = OU.profile_text(services, F.col("relevance_reason"), F.lit(None).cast("string"), F.col("industry"))
+    return c.select(
+        "id", text.alias("profile"),
+        OU.effective_services(F.lit(""), services, F.col("relevance_reason")).alias("services"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (mail_merge, draft_parse, reply_fields, suggestion_rows, outreach_hints, company_profiles)}
 
 
 def _filled(template: str) -> str:
@@ -93,5 +116,15 @@ SQL = {
         SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'Price' ELSE 'General Interest' END AS objection_type,
           'Re: ' || conv_id AS subject, 'Offer a pilot.' AS strategy_hint,
           md5(CASE role WHEN 'assistant' THEN text ELSE '> ' || text END) AS digest FROM conversations""",
+    "outreach_hints": f"""
+        WITH g AS (SELECT *, CASE WHEN trust_score % 2 = 0 THEN website ELSE 'https://www.' || lower(replace(name, '#', '')) || '.com' END AS url FROM ({V.CLIENTS}))
+        SELECT id, url, trust_score % 2 <> 0 AS is_guessed,
+          CASE WHEN email IS NOT NULL THEN 'Primary email (' || email || ') verified. Suggested: Cold Email outreach + LinkedIn connect.'
+               WHEN trust_score > 40 THEN 'No public email found. Suggested: LinkedIn Company Outreach & InMail.'
+               ELSE 'Contact via website form at ' || url || '.' END AS hint FROM g""",
+    "company_profiles": f"""
+        WITH g AS (SELECT *, coalesce(CASE WHEN trust_score > 50 THEN lower(industry) END, relevance_reason, 'B2B Products & Services') AS s FROM ({V.CLIENTS}))
+        SELECT id, 'CORE BUSINESS: ' || s || chr(10) || 'IDEAL CUSTOMER PROFILE: B2B Clients' || chr(10) ||
+          'VALUE PROPOSITION: High quality solutions in ' || industry || '.' AS profile, s AS services FROM g""",
     "suggestion_rows": f"SELECT id, industry, country AS reason FROM ({V.CLIENTS})",
 }
