@@ -141,9 +141,12 @@ def stage2_overlay(clients: DataFrame) -> DataFrame:
 
 def overlay_enrichment(cards: DataFrame, enriched: DataFrame, key: str = "domain") -> DataFrame:
     """Fresh contacts over a card; what is empty keeps the card's own value."""
+    first_of_all = (
+        [or_none(F.get("all_emails", 0))] if "all_emails" in enriched.columns else []
+    )
     e = enriched.select(
         key,
-        F.col("primary_email").alias("_email"),
+        F.coalesce(or_none(F.col("primary_email")), *first_of_all).alias("_email"),
         F.get("phones", 0).alias("_phone"),
         F.col("linkedin_company").alias("_linkedin"),
         F.col("contact_page_url").alias("_url"),

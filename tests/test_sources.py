@@ -48,6 +48,16 @@ def test_events_round_trip_in_order_and_skip_bad_lines(spark, tmp_path):
     assert [r.domain for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["z.com"]
 
 
+def test_events_of_a_run(spark):
+    cards = spark.createDataFrame([(1, 0, "a.com", "A"), (2, 3, "b.com", "B")], "page int, pos int, domain string, name string")
+    totals = spark.createDataFrame([(1, 1, 5), (2, 2, 9)], "page int, qualified_total bigint, processed_total bigint")
+    lines = [json.loads(r.value) for r in writers.event_lines(writers.discovery_events(cards, totals, "jam", 10, "Us")).collect()]
+    assert [x["type"] for x in lines] == ["start", "company", "progress", "company", "progress", "complete"]
+    assert lines[2] == {"type": "progress", "page": 1, "qualified": 1, "target": 10, "processed": 5}
+    assert lines[0] == {"type": "start", "query": "jam", "target": 10} and lines[5]["totalQualified"] == 2
+    assert lines[5]["summary"] == "Discovery finished. Found 2 qualified prospects for Us."
+
+
 def test_csv_bytes(spark, tmp_path):
     c = spark.createDataFrame([('A "x", y', "w", None, "P", 5, "Won", None, "1", "r", "t")], "name string, website string, industry string, country string, trust_score int, status string, email string, phone string, relevance_reason string, created_at string")
     writers.write_csv(c.coalesce(1), str(tmp_path / "o"))
