@@ -83,7 +83,7 @@ def source_context(text: Column, term: Column, reach: int = 50) -> Column:
     cut = F.substr(text, start, stop - start)
     return F.when(
         at > 0, F.substring(strip(F.translate(cut, "\n", " ")), 1, 100)
-    ).otherwise(F.lit("Extracted from page content"))
+    ).otherwise(F.lit(rules.NO_CONTEXT))
 
 
 def heading_before(text: Column, term: Column) -> Column:
@@ -105,13 +105,7 @@ def page_summary(text: Column, company: Column, limit: int = 200) -> Column:
     short = F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("..."))).otherwise(t)
     return F.coalesce(
         or_none(short),
-        F.concat(
-            company,
-            F.lit(
-                " is a leading provider in their industry,"
-                " specializing in high-quality professional services."
-            ),
-        ),
+        F.concat(company, F.lit(rules.PLAIN_SUMMARY)),
     )
 
 

@@ -184,15 +184,15 @@ def contact_bundle(pages: DataFrame, **options) -> DataFrame:
         F.coalesce("company_profile", "people_profile").alias("profile"),
         F.coalesce("email_url", usual_page).alias("contact_url"),
         F.when(F.col("primary_email").isNotNull(), urls.page_name(F.col("email_url")))
-        .when(F.col("has_contact_section"), "Contact page available — visit directly")
-        .otherwise("No direct contact info found")
+        .when(F.col("has_contact_section"), rules.SECTION_LABEL)
+        .otherwise(rules.NOTHING_LABEL)
         .alias("source_label"),
         F.when(F.col("primary_email").isNotNull(), F.col("email_context"))
         .when(
             F.col("has_contact_section"),
-            "Interactive or structured contact section available on website",
+            rules.SECTION_CONTEXT,
         )
-        .otherwise("Extracted from page content")
+        .otherwise(rules.NO_CONTEXT)
         .alias("source_context"),
         (F.col("n_emails") + F.col("n_phones") + F.col("n_profiles") > 0).alias("found"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,30 +12,11 @@ from leadlode.functions.common import or_none, strip, str_array, text_or_empty
 from leadlode.functions.text import strip_code_fence, word_count
 from leadlode.functions.urls import clean_domain
 
-INITIAL = {
-    "subject": "{service} for {name}",
-    "body": (
-        "Hi team at {name},\n\nI was reviewing {name}'s operations in {industry} and was impressed by"
-        " your team's work. Teams expanding in this domain often look for specialized support when"
-        " {reason}.\n\nAt {sender}, we provide {service} to help accelerate production and operational"
-        " pipelines.\n\nWould you be available for a short 15-minute call next week to see if there is"
-        " an alignment?\n\nBest regards,\nThe {sender} Team"
-    ),
-}
-FOLLOW_UP = {
-    "subject": "Following up: {service} for {name}",
-    "body": (
-        "Hi team at {name},\n\nFollowing up on my previous email regarding {sender}'s {service}"
-        " capabilities.\n\nWould you be open to a quick 15-minute call next week to see if there is"
-        " alignment for your roadmap?\n\nBest regards,\nThe {sender} Team"
-    ),
-}
+INITIAL, FOLLOW_UP = rules.INITIAL_MAIL, rules.FOLLOW_UP_MAIL
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
     """A ``{slot}`` template as one concat of literals and columns."""
-    import re
-
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(
         *[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p]
@@ -170,14 +153,11 @@ def outreach_suggestion(email: Column, profile: Column, form_url: Column) -> Col
     return (
         F.when(
             or_none(email).isNotNull(),
-            F.concat(
-                F.lit("Primary email ("), email,
-                F.lit(") verified. Suggested: Cold Email outreach + LinkedIn connect."),
-            ),
+            F.concat(F.lit(rules.EMAIL_HINT[0]), email, F.lit(rules.EMAIL_HINT[1])),
         )
         .when(
             or_none(profile).isNotNull(),
-            F.lit("No public email found. Suggested: LinkedIn Company Outreach & InMail."),
+            F.lit(rules.PROFILE_HINT),
         )
-        .otherwise(F.concat(F.lit("Contact via website form at "), form_url, F.lit(".")))
+        .otherwise(F.concat(F.lit(rules.FORM_HINT[0]), form_url, F.lit(rules.FORM_HINT[1])))
     )

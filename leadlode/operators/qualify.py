@@ -154,21 +154,15 @@ def apply_verdicts(
         .alias("confidence"),
         F.when(
             by_rule,
-            F.concat(
-                F.lit("JUNK: Directory, marketplace, or listicle article detected ('"),
-                F.col("junk_phrase"), F.lit("')"),
-            ),
+            F.concat(F.lit(rules.JUNK_REASON[0]), F.col("junk_phrase"), F.lit(rules.JUNK_REASON[1])),
         )
         .otherwise(
             ruled(
                 F.concat(
-                    F.lit(f"Verified operating business in {target_industry} ("),
+                    F.lit(rules.UNANSWERED_REASON.format(industry=target_industry)),
                     F.col(key).cast("string"), F.lit(")"),
                 ),
-                F.lit(
-                    "INDUSTRY MISMATCH: Candidate is a software/CRM SaaS platform,"
-                    f" not operating in '{target_industry}'"
-                ),
+                F.lit(rules.SOFTWARE_REASON.format(industry=target_industry)),
                 v["reason"],
             )
         )
@@ -217,10 +211,10 @@ def card_snippet(
     cut = F.substring(text_or_empty(snippet), 1, limit)
     no_bio = F.when(
         cut.rlike(r"(?i)\b(?:" + "|".join(titles) + r")\b"),
-        instead((" is an established operating business in the ", " sector.")),
+        instead(rules.BIO_CARD),
     ).otherwise(cut)
     return F.when(
-        F.length(no_bio) < 25, instead((" is a verified operating company in ", "."))
+        F.length(no_bio) < 25, instead(rules.SHORT_CARD)
     ).otherwise(no_bio)
 
 

@@ -9,7 +9,7 @@ from leadlode import rules
 from leadlode.functions.common import or_none, strip, text_or_empty
 from leadlode.functions.urls import clean_domain
 
-DEFAULT_SNIPPET = "Business operating in the search domain."
+DEFAULT_SNIPPET = rules.DEFAULT_SNIPPET
 
 
 def _plain(fragment: Column) -> Column:

@@ -24,7 +24,7 @@ def candidate_filter(spark, folder):
 
 
 def candidate_first_per_domain(spark, folder):
-    return CA.dedupe_candidates(_cleaned(spark, folder), per_page=5).select("page", "pos", "domain")
+    return CA.dedupe_candidates(_cleaned(spark, folder)).select("page", "pos", "domain")
 
 
 def candidate_funnel(spark, folder):
@@ -108,7 +108,7 @@ SQL = {
     "candidate_first_per_domain": f"""
         SELECT page, pos, domain FROM (
           SELECT page, pos, domain, row_number() OVER (PARTITION BY page ORDER BY page, pos) AS k
-          FROM ({FIRST})) WHERE k <= 5""",
+          FROM ({FIRST})) WHERE k <= 20""",
     "candidate_funnel": f"""
         WITH c AS ({V.CANDIDATES}),
         r AS (SELECT *, row_number() OVER (PARTITION BY domain, reject_reason ORDER BY page, pos) AS k FROM c)
@@ -146,7 +146,7 @@ SQL = {
         r AS (SELECT page_id, pos,
                 url_decode(replace(regexp_extract(href, 'uddg=([^"&\\s]+)', 1), '+', '%2B')) AS url,
                 {V.sql_strip("regexp_replace(t, '<[^>]+>', '', 'g')")} AS t FROM u)
-        SELECT page_id, pos, url,
+        SELECT page_id, CAST(pos AS INTEGER) AS pos, url,
                CASE WHEN t <> '' THEN t ELSE upper(left(split_part({V.sql_domain('url')}, '.', 1), 1)) ||
                     substr(split_part({V.sql_domain('url')}, '.', 1), 2) END AS title
         FROM r WHERE starts_with(url, 'http') AND length(url) > 10""",

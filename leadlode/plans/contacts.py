@@ -88,7 +88,7 @@ def contact_bundle(spark, folder):
 def contact_sources(spark, folder):
     mined = CO.mine_pages(_pages_with_docs(spark, folder), blocked_words=V.NO_WORDS)
     values = cut_lineage(CO.contact_values(mined).where(F.col("kind") == "email"))
-    return CO.email_sources(values, k=3).select(
+    return CO.email_sources(values).select(
         "site", "email", "n_sources", "source_label", F.array_join("sources.url", " ").alias("urls")
     )
 
@@ -107,7 +107,7 @@ def extraction_yield(spark, folder):
 
 
 def contact_links(spark, folder):
-    return LI.rank_contact_links(text_table(spark, folder, "pages", "page_id"), k=4, words=LINK_WORDS)
+    return LI.rank_contact_links(text_table(spark, folder, "pages", "page_id"), words=LINK_WORDS)
 
 
 def subpages(spark, folder):
@@ -326,7 +326,7 @@ SQL = {
     "doc_emails": f"SELECT doc_id, email FROM ({_EMAILS})",
     "doc_emails_default": "SELECT doc_id, email FROM ("
     + sql_emails("documents", "doc_id", "text", rules.BLOCKED_EMAIL_WORDS) + ")",
-    "doc_phones": sql_phones("documents", "doc_id", "text"),
+    "doc_phones": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, phone FROM (" + sql_phones("documents", "doc_id", "text") + ")",
     "email_context": f"""
         SELECT doc_id, email, {sql_context("text")} AS context FROM ({_EMAILS}) JOIN documents USING (doc_id)""",
     "email_first_source": f"""
@@ -340,7 +340,7 @@ SQL = {
         SELECT site, arg_min(email, nth) AS email, min(n_sources) AS n_sources,
           string_agg({sql_page_name('url')}, ', ' ORDER BY nth) AS source_label,
           string_agg(url, ' ' ORDER BY nth) AS urls
-        FROM r WHERE nth <= 3 GROUP BY site, k""",
+        FROM r WHERE nth <= 14 GROUP BY site, k""",
     "extraction_yield": f"""
         WITH b AS ({_BUNDLE}),
         f AS (
@@ -352,7 +352,7 @@ SQL = {
           count(*) FILTER (found AND ok) / count(*) FILTER (found) AS precision
         FROM f GROUP BY field""",
     "contact_links": f"""
-        {_LINKS} SELECT page_id, url, score, CAST(rnk AS INTEGER) AS rnk FROM ranked WHERE rnk <= 4""",
+        {_LINKS} SELECT page_id, url, score, CAST(rnk AS INTEGER) AS rnk FROM ranked WHERE rnk <= 10""",
     "subpages": f"""
         WITH h AS (SELECT page_id, url, regexp_extract_all(html, {V.q(LI.ANCHOR)}, 1) AS hs,
                           regexp_extract_all(html, {V.q(LI.ANCHOR)}, 2) AS ts FROM pages),

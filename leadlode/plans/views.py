@@ -64,8 +64,8 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
     return text_table(spark, folder, "pages", "page_id").select(
         "page_id",
         F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("query"),
-        F.call_function("div", F.col("page_id"), F.lit(20)).alias("page"),
-        (F.col("page_id") % 20).alias("pos"),
+        F.call_function("div", F.col("page_id"), F.lit(50)).alias("page"),
+        (F.col("page_id") % 50).alias("pos"),
         "url",
         TX.html_title(F.col("html")).alias("title"),
         F.lit("").alias("content"),
@@ -73,7 +73,7 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 HITS = f"""
-  SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]{{2}})/', 1) AS query, page_id // 20 AS page, page_id % 20 AS pos, url,
+  SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]{{2}})/', 1) AS query, page_id // 50 AS page, page_id % 50 AS pos, url,
          {sql_squeeze("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
          {sql_domain("url")} AS domain
   FROM pages"""
