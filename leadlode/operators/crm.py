@@ -29,9 +29,10 @@ def label_emails(history: DataFrame, already: DataFrame | None = None, **options
     numbered = numbered_rows(history, keys, "id", **options)
     nth = F.col("nth")
     if already is not None:
-        numbered = numbered.join(already.select(*keys, F.col("n").alias("_n")), keys, "left")
+        counts = already.select(F.struct(*keys).alias("_key"), F.col("n").alias("_n"))
+        numbered = numbered.withColumn("_key", F.struct(*keys)).join(counts, "_key", "left")
         nth = nth + F.coalesce(F.col("_n"), F.lit(0))
-    return numbered.withColumn("label", label_of(F.col("email_type"), nth)).drop("nth", "_n")
+    return numbered.withColumn("label", label_of(F.col("email_type"), nth)).drop("nth", "_n", "_key")
 
 
 def log_counts(history: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 A plain running window sends a whole key to one task.  Here a key's rows are cut
 into chunks by value (an id range, an hour); rows are ordered inside their chunk
 only, and the small table of chunk totals carries the state from chunk to chunk.
+
+The key travels as one struct, which compares equal on NULL members too, so rows
+with a NULL key are numbered like any others.
 """
 
 from __future__ import annotations
@@ -11,60 +14,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+KEY, CHUNK = "_key", "_chunk"
+
 
 def id_chunk(id_col: str, rows: int) -> Column:
     """Chunk number of a unique integer id: at most ``rows`` rows per key and chunk."""
     return F.call_function("div", F.col(id_col), F.lit(rows))
 
 
-def numbered_rows(df: DataFrame, keys, id_col: str, into: str = "nth", rows: int = 1 << 20) -> DataFrame:
-    """``row_number`` per key in id order, without gathering a key in one task."""
-    keys = list(keys)
-    df = df.withColumn("_chunk", id_chunk(id_col, rows))
-    counts = df.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(id_col)
-    # The hash on the chunk is asked for: rows already hashed on a key alone would
-    # satisfy the window and keep a hot key in one task.  The join reuses it.
-    return (
-        df.repartition(*keys, "_chunk")
-        .withColumn("_in_chunk", F.row_number().over(in_chunk))
-        .join(offsets, [*keys, "_chunk"])
-        .withColumn(into, F.col("_before") + F.col("_in_chunk"))
-        .drop("_chunk", "_in_chunk", "_before")
-    )
-
-
-def running_sums(df: DataFrame, keys, order: str, sums: dict[str, str], rows: int = 1 << 16) -> DataFrame:
+def running_sums(
+    df: DataFrame, keys, order: str, sums: dict[str, str], rows: int = 1 << 20
+) -> DataFrame:
     """Running totals per key in the order of a unique integer column.
 
     ``sums`` maps a column to the name of its running total.
     """
-    keys = list(keys)
-    df = df.withColumn("_chunk", id_chunk(order, rows))
-    whole = df.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    before = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    df = df.withColumns({KEY: F.struct(*keys), CHUNK: id_chunk(order, rows)})
+    whole = df.groupBy(KEY, CHUNK).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = whole.select(
-        *keys, "_chunk", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums]
+        KEY, CHUNK, *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums]
     )
     so_far = (
-        Window.partitionBy(*keys, "_chunk")
+        Window.partitionBy(KEY, CHUNK)
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # The hash on the chunk is asked for: rows already hashed on a key alone would
+    # satisfy the window and keep a hot key in one task.  The join reuses it.
     return (
-        df.repartition(*keys, "_chunk")
+        df.repartition(KEY, CHUNK)
         .withColumns({into: F.sum(c).over(so_far) for c, into in sums.items()})
-        .join(offsets, [*keys, "_chunk"])
+        .join(offsets, [KEY, CHUNK])
         .withColumns({into: F.col(into) + F.col(f"_{c}") for c, into in sums.items()})
-        .drop("_chunk", *[f"_{c}" for c in sums])
+        .drop(KEY, CHUNK, *[f"_{c}" for c in sums])
     )
+
+
+def numbered_rows(df: DataFrame, keys, id_col: str, into: str = "nth", rows: int = 1 << 20) -> DataFrame:
+    """``row_number`` per key in id order, without gathering a key in one task."""
+    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return running_sums(ones, keys, id_col, {"_one": into}, rows).drop("_one")

@@ -90,10 +90,10 @@ def test_sources_and_totals(spark):
 
 
 def test_running_sums_over_several_chunks(spark):
-    rows = [("hot", i, i % 7) for i in range(0, 900, 3)] + [("b", 5, 1), ("b", 70, 2)]
+    rows = [("hot", i, i % 7) for i in range(0, 900, 3)] + [("b", 5, 1), ("b", 70, 2), (None, 4, 1), (None, 400, 5)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
     total, want = {}, set()
-    for k, o, v in sorted(rows):
+    for k, o, v in sorted(rows, key=lambda r: r[1]):
         total[k] = total.get(k, 0) + v
         want.add((k, o, total[k]))
     got = {(r.k, r.o, r.t) for r in running_sums(df, ["k"], "o", {"v": "t"}, rows=50).collect()}
