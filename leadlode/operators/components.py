@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from leadlode.session import cut_lineage
 
 
-def _digest(edges: DataFrame):
-    return edges.agg(
-        F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))
-    ).first()
+def _settled(edges: DataFrame) -> bool:
+    """Is every node either a centre or the tip of exactly one edge to a centre?"""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("src").alias("node"), one.alias("out"), none.alias("into")).union(
+        edges.select("dst", none, one)
+    )
+    per_node = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per_node.where(F.col("out") + F.col("into") > 1).where(F.col("out") > 0).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,18 +45,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label``: the smallest node of each node's component.
 
-    Runs one Spark job per round until the edges stop changing (about log n
-    rounds); every round is written to the checkpoint folder.  Only two numbers
-    per round reach the driver.
+    Runs one Spark job per round until only stars are left (about log n rounds);
+    every round is written to the checkpoint folder.  The driver sees no more than
+    whether a round was the last.
     """
-    current = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    seen = _digest(current)
+    current = cut_lineage(_small_star(edges.select("src", "dst").where(F.col("src") != F.col("dst"))))
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
-        now = _digest(current)
-        if now == seen:
+        if _settled(current):
             break
-        seen = now
+        current = cut_lineage(_small_star(_large_star(current)))
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     stars = current.select(F.col("src").alias("node"), F.col("dst").alias("label"))

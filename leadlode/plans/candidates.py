@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadlode.operators import candidates as CA
 from leadlode.operators import results_page as RP
 from leadlode.plans import views as V
-from leadlode.sources.readers import table, text_table
+from leadlode.sources.readers import text_table
 from leadlode.functions import urls
 
 

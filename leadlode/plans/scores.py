@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from leadlode.operators import candidates as CA
 from leadlode.operators import leads as LE
 from leadlode.plans import views as V
 from leadlode.session import checkpoint_dir
