@@ -7,7 +7,7 @@ from functools import wraps
 
 from leadlode.session import tune
 
-MODULES = ("mixing",)
+MODULES = ("langid", "mixing", "packing")
 
 
 def _tuned(fn):
