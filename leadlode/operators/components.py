@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlode.session import cut_lineage
+from leadlode.session import drop_shared, write_shared
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -42,19 +42,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("src", F.col("low").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component.
 
-    Runs one Spark job per round until only stars are left (about log n rounds);
-    every round is written to the checkpoint folder.  The driver sees no more than
-    whether a round was the last.
+    Runs Spark jobs at once, one round after another until only stars are left (about log n
+    rounds).  A round is written to the shared folder and the one before it removed.  The
+    driver sees no more than whether a round was the last.
     """
-    current = cut_lineage(_small_star(edges.select("src", "dst").where(F.col("src") != F.col("dst"))))
-    for _ in range(max_rounds):
-        if _settled(current):
-            break
-        current = cut_lineage(_small_star(_large_star(current)))
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+    spark = edges.sparkSession
+    current, path = write_shared(_small_star(edges.select("src", "dst").where(F.col("src") != F.col("dst"))))
+    while not _settled(current):
+        after, new_path = write_shared(_small_star(_large_star(current)))
+        drop_shared(spark, path)
+        current, path = after, new_path
     stars = current.select(F.col("src").alias("node"), F.col("dst").alias("label"))
     return stars.union(stars.select(F.col("label"), F.col("label"))).distinct()

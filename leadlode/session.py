@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(os.path.join(checkpoint_dir(df.sparkSession), "rdd"))
     return df.checkpoint()
+
+
+def write_shared(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a frame as a table of the shared folder; the frame that reads it, and its folder.
+
+    A lost executor costs no more than the tasks it ran, and the reader knows the size on
+    disk, by which Spark picks its joins.  The folder goes when the application ends, or
+    earlier by ``drop_shared``.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/leadlode-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_shared(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
