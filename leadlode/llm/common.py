@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlode.session import checkpoint_dir
+from leadlode.session import write_shared
 
 #: The white space that separates words: space and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-#: The same for Python's byte strings, whose ``split()`` uses just these six bytes.
-NO_ROWS = "rows of an empty table"
 
-#: Rows of one Arrow batch: whole texts travel to Python, so few at a time.
-BATCH_ROWS = 256
+#: Bytes of one Arrow batch: whole texts travel to Python.
+BATCH_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -32,7 +28,7 @@ def word_count(text: Column) -> Column:
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch of texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -41,18 +37,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """Write a frame to the cluster's shared folder and read it back.
-
-    Lost executors cost no more than the tasks they ran, and the reader knows the size on
-    disk, by which Spark picks its joins.  The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/leadlode-llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a frame to the cluster's shared folder and read it back."""
+    return write_shared(df)[0]
 
 
 #: Slots of a bitmap that stands for a set of 64-bit hashes: 16 MB of bits whatever the set's
