@@ -7,7 +7,7 @@ from functools import wraps
 
 from leadlode.session import tune
 
-MODULES = ("langid", "mixing", "packing", "simhash", "quality")
+MODULES = ("langid", "mixing", "line_dedup", "packing", "simhash", "quality")
 
 
 def _tuned(fn):
