@@ -7,7 +7,7 @@ from functools import wraps
 
 from leadlode.session import tune
 
-MODULES = ("langid", "mixing", "line_dedup", "packing", "simhash", "quality", "substring")
+MODULES = ("langid", "mixing", "line_dedup", "packing", "simhash", "quality", "substring", "media")
 
 
 def _tuned(fn):
