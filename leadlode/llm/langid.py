@@ -153,14 +153,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLU
     ``per_language`` bounds the clustered sample of one language; the inverse document
     frequencies come from every row.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     seen, n = _document_frequencies(usable.select("text"))
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     blank = Model(idf, np.zeros((0, SLOTS), np.float32), [])
 
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = shared_table(
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select("lang", "doc_id")
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= per_language)

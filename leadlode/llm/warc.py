@@ -115,8 +115,9 @@ def resolve_revisits(captures: DataFrame, ranges: int = RANGES) -> DataFrame:
         F.col("payload_digest").alias("digest"),
         F.col("payload_length").cast("long").alias("length"),
     )
-    cuts = captures.select(F.col("ts").cast("long").alias("ts")).approxQuantile("ts", [i / ranges for i in range(1, ranges)], 0.002)
-    cuts = sorted(set(cuts))
+    shares = [i / ranges for i in range(1, ranges)]
+    times = captures.select(F.col("ts").cast("long").alias("ts"))
+    cuts = sorted(set(times.approxQuantile("ts", shares, 0.002))) if shares else []
     part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>"), lambda c: c < F.col("ts")))
     ready = shared_table(rows.withColumn("part", part))
 
