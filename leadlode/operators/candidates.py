@@ -105,9 +105,11 @@ def passed(candidates: DataFrame) -> DataFrame:
 
 
 def dedupe_candidates(
-    candidates: DataFrame, per_page: int | None = 20, run_cols=(), order=("page", "pos")
+    candidates: DataFrame, run_cols, per_page: int | None = None, order=("page", "pos")
 ) -> DataFrame:
-    """First passing hit per domain, then the first ``per_page`` of each page.
+    """First passing hit per domain of a run, then the first ``per_page`` of each page if asked for.
+
+    ``run_cols`` names what is one run (a query, a request): domains seen and pages are counted inside it.
 
     Both ranks are filtered by a constant, so Spark limits every group on the map
     side: a domain with a third of all hits ships one row per map task.

@@ -144,9 +144,16 @@ def _insert_value(column: str, fields, as_of: Column, old: DataFrame) -> Column:
     return (value if default is None else F.coalesce(value, default)).cast(kind).alias(column)
 
 
-def update_clients(clients: DataFrame, changes: DataFrame, fields=None) -> DataFrame:
-    """Overlay the non-NULL fields of ``changes`` (one row per id and company)."""
+def update_clients(clients: DataFrame, changes: DataFrame, fields=None, seq: str = "seq") -> DataFrame:
+    """Overlay the non-NULL fields of ``changes``.
+
+    A client with several changes gets the newest non-NULL value of each field by ``seq``; without
+    that column ``changes`` must hold one row per id and company.
+    """
     fields = [f for f in (fields or schemas.CLIENT_FIELDS) if f in changes.columns and f in clients.columns]
+    if seq in changes.columns:
+        newest = changes.groupBy("id", "company_id").agg(*[_latest(f, F.col(seq)).alias(f) for f in fields])
+        changes = newest.select("id", "company_id", *[F.col(f)["value"].alias(f) for f in fields])
     keyed = changes.select("id", "company_id", *[F.col(f).alias(f"_{f}") for f in fields])
     return clients.join(keyed, ["id", "company_id"], "left").select(
         *[

@@ -108,8 +108,12 @@ def combine_summaries(summaries: DataFrame, lead: str = "lead", order: str = "ch
     )
 
 
+def in_range(score: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(TOP), score))
+
+
 def final_score(start: Column, bounced: Column, gain: Column) -> Column:
-    entered = F.when(bounced, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(TOP), start)))
+    entered = F.when(bounced, 0).otherwise(in_range(start))
     return F.least(F.lit(TOP), entered + gain).cast("int")
 
 
@@ -167,7 +171,7 @@ def score_history(
     s = s.join(old, lead).select(
         lead,
         "chunk",
-        (F.when(F.col("after_bounce"), 0).otherwise(F.col("start")) + F.col("entering")).alias("entering"),
+        (F.when(F.col("after_bounce"), 0).otherwise(in_range(F.col("start"))) + F.col("entering")).alias("entering"),
     )
     e = with_effects(chunked)
     rows = Window.unboundedPreceding, Window.currentRow

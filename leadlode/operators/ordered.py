@@ -4,8 +4,8 @@ A plain running window sends a whole key to one task.  Here a key's rows are cut
 into chunks by value (an id range, an hour); rows are ordered inside their chunk
 only, and the small table of chunk totals carries the state from chunk to chunk.
 
-The key travels as one struct, which compares equal on NULL members too, so rows
-with a NULL key are numbered like any others.
+Key and chunk travel as structs, which compare equal on NULL members too, so rows
+with a NULL key are numbered like any others, and rows with a NULL order come first.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def running_sums(
 
     ``sums`` maps a column to the name of its running total.
     """
-    df = df.withColumns({KEY: F.struct(*keys), CHUNK: id_chunk(order, rows)})
+    df = df.withColumns({KEY: F.struct(*keys), CHUNK: F.struct(id_chunk(order, rows).alias("at"))})
     whole = df.groupBy(KEY, CHUNK).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = whole.select(

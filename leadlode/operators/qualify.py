@@ -91,7 +91,8 @@ def apply_verdicts(
 
     # A phrase may begin at the end of the text and end in the reason.  The leading
     # letter keeps a cut word from looking like a whole one.
-    tail = F.concat(F.when(F.length("_body") > 64, "x").otherwise(""), F.right("_body", F.lit(64)))
+    reach = max(len(p) for p in (*rules.SIMILAR_SERVICE_PATTERNS, *rules.SOFTWARE_PHRASES))
+    tail = F.concat(F.when(F.length("_body") > reach, "x").otherwise(""), F.right("_body", F.lit(reach)))
     scanned = (
         candidates.withColumn("junk_phrase", junk_match(text))
         .withColumn("_body", F.when(F.col("junk_phrase").isNull(), body).otherwise(""))

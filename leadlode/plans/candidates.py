@@ -24,7 +24,7 @@ def candidate_filter(spark, folder):
 
 
 def candidate_first_per_domain(spark, folder):
-    return CA.dedupe_candidates(_cleaned(spark, folder)).select("page", "pos", "domain")
+    return CA.dedupe_candidates(_cleaned(spark, folder), ["query"], per_page=20).select("query", "page", "pos", "domain")
 
 
 def candidate_funnel(spark, folder):
@@ -99,15 +99,15 @@ QUERIES = {
 
 _LISTED = f"SELECT DISTINCT {V.sql_domain('url')} AS domain FROM pages WHERE contains(url, '/de/')"
 FIRST = f"""
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page, pos) AS nth
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, domain ORDER BY page, pos) AS nth
                  FROM ({V.CANDIDATES}) WHERE reject_reason IS NULL) WHERE nth = 1"""
 
 SQL = {
     "candidate_domains": f"SELECT page_id, domain FROM ({V.HITS})",
     "candidate_filter": f"SELECT page_id, domain, reject_reason FROM ({V.CANDIDATES})",
     "candidate_first_per_domain": f"""
-        SELECT page, pos, domain FROM (
-          SELECT page, pos, domain, row_number() OVER (PARTITION BY page ORDER BY page, pos) AS k
+        SELECT query, page, pos, domain FROM (
+          SELECT query, page, pos, domain, row_number() OVER (PARTITION BY query, page ORDER BY page, pos) AS k
           FROM ({FIRST})) WHERE k <= 20""",
     "candidate_funnel": f"""
         WITH c AS ({V.CANDIDATES}),

@@ -96,7 +96,7 @@ def verdicts(spark, folder):
 def _evaluated(spark, folder):
     """Hits -> rules -> one per domain -> page text -> verdict -> gate."""
     cleaned = CA.filter_candidates(V.hits(spark, folder), excluded=V.EXCLUDED)
-    kept = CA.dedupe_candidates(cleaned)
+    kept = CA.dedupe_candidates(cleaned, ["query"])
     # Tags are removed after the join, from the pages that were kept.
     html = text_table(spark, folder, "pages", "page_id").select("page_id", "html")
     c = kept.join(html, "page_id").select(
@@ -221,9 +221,8 @@ def sql_named(source: str) -> str:
 from leadlode.plans.contacts import sql_text  # noqa: E402
 
 _KEPT = f"""
-  SELECT page_id, query, page, pos, url, domain, title, title AS name, '' AS snippet, scraped FROM (
-    SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS onpage FROM ({PC.FIRST})) JOIN
-    (SELECT page_id, {sql_text('html')} AS scraped FROM pages) USING (page_id) WHERE onpage <= 20"""
+  SELECT page_id, query, page, pos, url, domain, title, title AS name, '' AS snippet, scraped FROM ({PC.FIRST}) JOIN
+    (SELECT page_id, {sql_text('html')} AS scraped FROM pages) USING (page_id)"""
 _ACCEPTED = f"""
   SELECT * FROM ({sql_evaluated('page_id', _KEPT)})
   WHERE NOT broken AND NOT is_junk AND industry_match AND confidence >= 50

@@ -70,7 +70,7 @@ def stream_scores(spark, folder):
     root = _fresh_root(spark, "scores")
     SS.start_scores(parsed, root).awaitTermination()
     return SS.current_scores(SS.read_summaries(spark, root), V.leads(spark, folder)).select(
-        "lead", "score", "n_events"
+        "lead", "score", "opened", "clicked", "bounced", "n_events"
     )
 
 
@@ -117,6 +117,6 @@ SQL = {
         SELECT CASE event_id % 50 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'skipped' ELSE 'ok' END AS status,
                CASE event_id % 50 WHEN 0 THEN NULL WHEN 1 THEN 'email.opened' ELSE type END AS type, count(*) AS n
         FROM ({V.EVENTS}) GROUP BY ALL""",
-    "stream_scores": f"WITH {_RUNS} SELECT lead, score, n_events FROM f",
+    "stream_scores": f"WITH {_RUNS} SELECT lead, score, opened, clicked, bounced, n_events FROM f",
     "stream_candidates": f"SELECT DISTINCT domain FROM ({V.CANDIDATES}) WHERE reject_reason IS NULL",
 }

@@ -76,17 +76,18 @@ def write_shared(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/leadlode-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, where = _files(spark, path)
+    files, where = shared_files(spark, path)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
-    files, where = _files(spark, path)
+    files, where = shared_files(spark, path)
     files.delete(where, True)
 
 
-def _files(spark: SparkSession, path: str):
+def shared_files(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it takes it."""
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(context._jsc.hadoopConfiguration()), where

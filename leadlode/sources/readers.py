@@ -15,16 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, spread over the cores when its file is small.
+    """A table of long texts, as it lies.
 
-    A file below one split per core comes as a handful of tasks however many
-    cores wait, and text rules are work per character.  Such a table is hashed on
-    its key once.  A large table already has a split for every core and is read
-    as it lies, with no shuffle.
+    Work on texts is spread by the splits of the scan (``spark.sql.files.maxPartitionBytes``),
+    never by a shuffle of the texts; ``key`` names the column that tells its rows apart.
     """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return table(spark, folder, name)
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlode.operators import leads as L
+from leadlode.session import shared_files
 
 SUMMARY = "lead bigint, bounced boolean, gain bigint, opened boolean, clicked boolean, n_events bigint"
 
 
-def _split(events: DataFrame, root: str, batch: int, lead: str) -> DataFrame:
+def _split(events: DataFrame, root: str, batch: int) -> DataFrame:
     """Set unusable messages aside and return the rest."""
     if "status" not in events.columns:
         return events
@@ -36,9 +37,13 @@ def start_scores(
     """
 
     def step(batch_df: DataFrame, batch: int) -> None:
-        good = _split(batch_df, root, batch, lead)
-        summary = L.combine_summaries(L.chunk_summaries(good, lead, unit=unit), lead)
-        summary.write.mode("overwrite").parquet(f"{root}/summaries/batch={batch}")
+        batch_df.persist()  # it is written twice: what is set aside, and the summary
+        try:
+            good = _split(batch_df, root, batch)
+            summary = L.combine_summaries(L.chunk_summaries(good, lead, unit=unit), lead)
+            summary.write.mode("overwrite").parquet(f"{root}/summaries/batch={batch}")
+        finally:
+            batch_df.unpersist()
 
     return (
         events.writeStream.foreachBatch(step)
@@ -49,17 +54,26 @@ def start_scores(
 
 
 def read_summaries(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("basePath", f"{root}/summaries").parquet(f"{root}/summaries")
+    """All summaries so far; none if no batch has been written yet."""
+    schema = SUMMARY + ", batch int"
+    files, where = shared_files(spark, f"{root}/summaries")
+    if not files.exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/summaries").parquet(f"{root}/summaries")
 
 
 def current_scores(summaries: DataFrame, leads: DataFrame, lead: str = "lead") -> DataFrame:
-    """Score and flags per lead from the summaries so far."""
+    """Score and flags per lead from the summaries so far; flags that a lead already has stay set."""
     folded = L.combine_summaries(summaries, lead, order="batch")
-    start = leads.select(lead, F.col("probability_score").alias("start"))
-    return folded.join(start, lead).select(
+    flags = ("opened", "clicked", "bounced")
+    old = leads.select(
+        lead, F.col("probability_score").alias("start"), *[F.col(c).alias(f"was_{c}") for c in flags if c in leads.columns]
+    )
+    return folded.join(old, lead).select(
         lead,
         L.final_score(F.col("start"), F.col("bounced"), F.col("gain")).alias("score"),
-        "opened", "clicked", "bounced", "n_events",
+        *[(F.col(c) | F.coalesce(F.col(f"was_{c}"), F.lit(False))).alias(c) if c in leads.columns else F.col(c) for c in flags],
+        "n_events",
     )
 
 

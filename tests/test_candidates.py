@@ -61,7 +61,7 @@ def test_dedupe_and_overflow_against_a_plain_loop(spark):
                 seen.add(u)
                 page.append((p, i, u))
         want += page[:3]  # what overflows stays seen
-    got = CA.dedupe_candidates(CA.filter_candidates(hits(spark, *rows)), per_page=3)
+    got = CA.dedupe_candidates(CA.filter_candidates(hits(spark, *rows)), ["query"], per_page=3)
     assert sorted((r.page, r.pos, r.url) for r in got.collect()) == sorted(want)
 
 
@@ -73,7 +73,7 @@ def test_funnel_adds_up(spark):
 
 def test_mocked_search_stops_at_the_target(spark):
     h = hits(spark, (1, 0, "https://one.com/", "One"), (1, 1, "https://two.com/", "Two"), (2, 0, "https://three.com/", "Three"))
-    kept = CA.dedupe_candidates(CA.filter_candidates(h))
+    kept = CA.dedupe_candidates(CA.filter_candidates(h), ["query"])
     assert [r.domain for r in CA.take_target(kept, n=2).orderBy("rnk").collect()] == ["one.com", "two.com"]
 
 
@@ -135,3 +135,17 @@ def test_phrases(spark, evaluate):
     assert evaluate(RP.location_text(F.col("a"), F.col("b")), [("Lyon", "France"), ("", "France"), ("", None)], "a string, b string") == [
         "Lyon, France", "France", "",
     ]
+
+
+def test_a_run_is_deduplicated_by_itself(spark):
+    df = hits(spark, *[(1, i, f"https://d{i}.com/", "t") for i in range(15)])
+    three = df.withColumn("query", F.explode(F.array(*[F.lit(q) for q in "abc"])))
+    cleaned = CA.filter_candidates(three)
+    assert CA.dedupe_candidates(cleaned, ["query"]).count() == 45
+    assert CA.dedupe_candidates(cleaned, ["query"], per_page=4).count() == 12
+
+
+def test_rows_without_a_page_are_counted(spark):
+    c = spark.createDataFrame([("q", None, True), ("q", 1, False), ("q", 1, True), (None, None, True)], "query string, page int, accepted boolean")
+    got = {(r["query"], r.page): (r.processed_total, r.qualified_total) for r in CA.running_totals(c).collect()}
+    assert got == {("q", None): (1, 1), ("q", 1): (3, 2), (None, None): (1, 1)}

@@ -173,3 +173,13 @@ def test_overlays(spark):
     got = {r.domain: r for r in CL.overlay_enrichment(cards, fresh).collect()}
     assert (got["a.com"].email, got["a.com"].phone, got["a.com"].linkedin, got["a.com"].enriched) == ("new@a.com", "9", None, True)
     assert got["a.com"].contactSource.label == "Contact Page" and got["b.com"].contactSource is None and not got["b.com"].enriched
+
+
+def test_several_changes_of_one_client_are_one_row(spark):
+    clients = spark.createDataFrame([(1, 9, "A", "Pending"), (2, 9, "B", "Pending")], "id long, company_id long, name string, status string")
+    changes = spark.createDataFrame(
+        [(1, 9, "A1", None, 1), (1, 9, None, "Won", 2), (1, 9, "A2", None, 3), (3, 9, "C", None, 4)],
+        "id long, company_id long, name string, status string, seq long",
+    )
+    got = crm.update_clients(clients, changes, fields=["name", "status"]).collect()
+    assert sorted((r.id, r.name, r.status) for r in got) == [(1, "A2", "Won"), (2, "B", "Pending")]

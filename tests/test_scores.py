@@ -128,3 +128,15 @@ def test_rejected_messages_are_set_aside(spark, tmp_path):
     SS.start_scores(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 2
     assert SS.read_summaries(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_no_summaries_yet(spark, tmp_path):
+    leads = spark.createDataFrame([(1, 20, True, False, False)], "lead long, probability_score int, opened boolean, clicked boolean, bounced boolean")
+    assert SS.current_scores(SS.read_summaries(spark, str(tmp_path)), leads).count() == 0
+
+
+def test_flags_set_earlier_stay(spark):
+    leads = spark.createDataFrame([(1, 20, True, False, True)], "lead long, probability_score int, opened boolean, clicked boolean, bounced boolean")
+    one = spark.createDataFrame([(1, False, 20, False, True, 1, 0)], SS.SUMMARY + ", batch int")
+    row = SS.current_scores(one, leads).first()
+    assert (row.opened, row.clicked, row.bounced) == (True, True, True)
