@@ -115,39 +115,19 @@ def distinct_contacts(values: DataFrame) -> DataFrame:
     )
 
 
-def email_sources(values: DataFrame, k: int = 14) -> DataFrame:
-    """Per address the pages it was found on, as an array and a joined label.
+def email_sources(values: DataFrame) -> DataFrame:
+    """``site, email, url, page, label, page_id, pos``: a row for each page an address was found on.
 
-    The array holds the first ``k`` pages (the size of one crawl of a site);
-    ``n_sources`` counts all of them, and ``contact_values`` keeps every row, so
-    an address on millions of pages is never gathered into one row.  ``values`` is
+    A page that was crawled several times counts once, with its first sight; ``page_id, pos`` give the
+    order.  Nothing is gathered per address, so one on millions of pages is as many rows.  ``values`` is
     read twice; pass a written table, not a pending mining job.
     """
     emails = values.where(F.col("kind") == "email")
-    by_sight = Window.partitionBy("site", "key").orderBy("page_id", "pos")
-    counts = emails.groupBy("site", "key").agg(F.count("*").alias("n_sources"))
-    first_k = (
-        emails.withColumn("rnk", F.row_number().over(by_sight))
-        .where(F.col("rnk") <= k)
-        .groupBy("site", "key")
-        .agg(
-            F.min_by("value", "rnk").alias("email"),
-            F.sort_array(
-                F.collect_list(
-                    F.struct("rnk", "url", urls.page_name(F.col("url")).alias("page"), "label")
-                )
-            ).alias("sources"),
-        )
-    )
-    return first_k.join(counts, ["site", "key"]).select(
-        "site",
-        "email",
-        "n_sources",
-        F.transform(
-            "sources",
-            lambda s: F.struct(s["url"].alias("url"), s["page"].alias("page"), s["label"].alias("label")),
-        ).alias("sources"),
-        F.array_join(F.transform("sources", lambda s: s["page"]), ", ").alias("source_label"),
+    sight = F.struct("page_id", "pos")
+    spelled = emails.groupBy("site", "key").agg(F.min_by("value", sight).alias("email"))
+    per_page = emails.groupBy("site", "key", "url").agg(F.min(sight).alias("first"), F.min_by("label", sight).alias("label"))
+    return per_page.join(spelled, ["site", "key"]).select(
+        "site", "email", "url", urls.page_name(F.col("url")).alias("page"), "label", "first.page_id", "first.pos"
     )
 
 

@@ -88,9 +88,7 @@ def contact_bundle(spark, folder):
 def contact_sources(spark, folder):
     mined = CO.mine_pages(_pages_with_docs(spark, folder), blocked_words=V.NO_WORDS)
     values = cut_lineage(CO.contact_values(mined).where(F.col("kind") == "email"))
-    return CO.email_sources(values).select(
-        "site", "email", "n_sources", "source_label", F.array_join("sources.url", " ").alias("urls")
-    )
+    return CO.email_sources(values).select("site", "email", "url", F.col("page").alias("source_label"), "page_id", "pos")
 
 
 def extraction_yield(spark, folder):
@@ -335,12 +333,10 @@ SQL = {
     "contact_bundle": _BUNDLE,
     "contact_sources": f"""
         WITH {_MINED},
-        r AS (SELECT *, row_number() OVER (PARTITION BY site, k ORDER BY page_id, pos) AS nth,
-                     count(*) OVER (PARTITION BY site, k) AS n_sources FROM e1)
-        SELECT site, arg_min(email, nth) AS email, min(n_sources) AS n_sources,
-          string_agg({sql_page_name('url')}, ', ' ORDER BY nth) AS source_label,
-          string_agg(url, ' ' ORDER BY nth) AS urls
-        FROM r WHERE nth <= 14 GROUP BY site, k""",
+        named AS (SELECT site, k, arg_min(email, (page_id, pos)) AS email FROM e1 GROUP BY site, k),
+        first AS (SELECT site, k, url, min((page_id, pos)) AS seen FROM e1 GROUP BY site, k, url)
+        SELECT site, email, url, {sql_page_name('url')} AS source_label, seen[1] AS page_id, seen[2] AS pos
+        FROM first JOIN named USING (site, k)""",
     "extraction_yield": f"""
         WITH b AS ({_BUNDLE}),
         f AS (

@@ -116,9 +116,16 @@ def test_bundle_of_a_site(spark):
     assert rows["mute.net"].contact_url == "https://mute.net/contact-us" and not rows["mute.net"].found
 
     values = CO.contact_values(CO.mine_pages(pages))
-    sources = {r.email.lower(): r for r in CO.email_sources(values).collect()}
-    s = sources["sales@acme.org"]
-    assert s.n_sources == 2 and s.source_label == "Homepage, Contact Page"
+    sources = [r for r in CO.email_sources(values).orderBy("page_id", "pos").collect() if r.email.lower() == "sales@acme.org"]
+    assert [r.page for r in sources] == ["Homepage", "Contact Page"] and len({r.email for r in sources}) == 1
+
+
+def test_an_address_keeps_all_its_pages_each_once(spark):
+    page = "<p>mail a@acme.org</p>"
+    rows = [(k, f"https://acme.org/p{k // 2}", page) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = CO.email_sources(CO.contact_values(CO.mine_pages(pages))).collect()
+    assert len(got) == 30 and {r.page_id for r in got} == set(range(0, 60, 2))
 
 
 def test_heading_above_and_external_fill(spark, evaluate):
