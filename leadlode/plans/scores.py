@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from leadlode.operators import candidates as CA
 from leadlode.operators import leads as LE
 from leadlode.plans import views as V
 from leadlode.session import checkpoint_dir
@@ -92,10 +93,34 @@ def stream_candidates(spark, folder):
     return spark.read.schema("domain string").parquet(f"{root}/domains")
 
 
+def stream_page_counters(spark, folder):
+    """Hits per ten pages, counted over a stream; each batch writes the pages it changed."""
+    hits = _stream(spark, folder, "pages").select(
+        "page_id", (F.col("page_id") % 10).alias("page"), "url", TX.html_title(F.col("html")).alias("title")
+    )
+    root = _fresh_root(spark, "counters")
+
+    def step(changed, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
+
+    (
+        SC.page_counters(CA.filter_candidates(hits, excluded=V.EXCLUDED))
+        .writeStream.outputMode("update")
+        .foreachBatch(step)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    counts = spark.read.schema("page bigint, processed bigint, qualified bigint, batch int").parquet(f"{root}/counts")
+    return counts.groupBy("page").agg(F.max("processed").alias("processed"), F.max("qualified").alias("qualified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lead_scores, lead_score_history, unknown_recipients, webhook_status, stream_scores, stream_candidates,
+        stream_page_counters,
     )
 }
 
@@ -118,5 +143,8 @@ SQL = {
                CASE event_id % 50 WHEN 0 THEN NULL WHEN 1 THEN 'email.opened' ELSE type END AS type, count(*) AS n
         FROM ({V.EVENTS}) GROUP BY ALL""",
     "stream_scores": f"WITH {_RUNS} SELECT lead, score, opened, clicked, bounced, n_events FROM f",
+    "stream_page_counters": f"""
+        SELECT page_id % 10 AS page, count(*) AS processed, count(*) FILTER (reject_reason IS NULL) AS qualified
+        FROM ({V.CANDIDATES}) GROUP BY 1""",
     "stream_candidates": f"SELECT DISTINCT domain FROM ({V.CANDIDATES}) WHERE reject_reason IS NULL",
 }

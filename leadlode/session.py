@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 # A join whose hot key must be split keeps its split even where that costs one more
 # shuffle for the aggregation behind it.
 SKEW_SETTINGS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+# Streaming state that outgrows the heap is kept on disk.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -27,6 +31,7 @@ def build_session(app: str = "leadlode", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         **SKEW_SETTINGS,
+        **STATE_SETTINGS,
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
@@ -35,9 +40,9 @@ def build_session(app: str = "leadlode", master: str | None = None, **conf) -> S
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Turn the skew settings on in a given session, unless it sets them itself."""
+    """Turn the skew and state settings on in a given session, unless it sets them itself."""
     given = spark.sparkContext.getConf()
-    for key, value in SKEW_SETTINGS.items():
+    for key, value in (SKEW_SETTINGS | STATE_SETTINGS).items():
         if not given.contains(key):
             spark.conf.set(key, value)
     return spark

@@ -14,15 +14,21 @@ def clean_stream(hits: DataFrame, **rule_options) -> DataFrame:
     return CA.passed(CA.filter_candidates(hits, **rule_options)).drop("reject_reason")
 
 
-def first_domains(hits: DataFrame, salts: int = 32) -> DataFrame:
-    """Each domain once.
+def first_domains(hits: DataFrame, salts: int = 32, ts: str | None = None, keep: str = "30 days") -> DataFrame:
+    """Each domain once, for good, or with a time column once in ``keep``.
 
     Two steps keep a hot domain from flooding one state partition: repeats are
     dropped per (domain, salt) first, and at most ``salts`` rows of a domain reach
-    the second step.  The salt follows the URL, so replays land alike.
+    the second step.  The salt follows the URL, so replays land alike.  With ``ts``
+    a watermark drops the state of domains not met for ``keep``.
     """
-    rows = hits.select("domain", F.pmod(F.xxhash64("url"), F.lit(salts)).alias("salt"))
-    return rows.dropDuplicates(["domain", "salt"]).select("domain").dropDuplicates(["domain"])
+    salt = F.pmod(F.xxhash64("url"), F.lit(salts)).alias("salt")
+    if ts is None:
+        rows = hits.select("domain", salt)
+        return rows.dropDuplicates(["domain", "salt"]).select("domain").dropDuplicates(["domain"])
+    rows = hits.withWatermark(ts, keep).select("domain", salt, ts)
+    once = rows.dropDuplicatesWithinWatermark(["domain", "salt"]).select("domain", ts)
+    return once.dropDuplicatesWithinWatermark(["domain"])
 
 
 def page_counters(hits: DataFrame) -> DataFrame:

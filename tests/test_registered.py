@@ -37,7 +37,7 @@ def plan_of(df):
     return out.getvalue()
 
 
-STREAMED = {"stream_scores", "stream_candidates"}
+STREAMED = {"stream_scores", "stream_candidates", "stream_page_counters"}
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.all_queries()) - STREAMED - {"upsert_clients"}))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -110,6 +111,20 @@ def test_stream_candidates_keep_each_domain_once(spark, tmp_path):
     assert sorted(got) == sorted({"hot.com", *(f"d{i}.com" for i in range(20))})
 
 
+def test_stream_candidates_with_a_watermark(spark, tmp_path):
+    schema = "ts timestamp, url string, domain string"
+    for day in (1, 2):
+        rows = [(datetime(2024, 1, day), f"https://d{i}.com/{k}", f"d{i}.com") for i in range(5) for k in range(8)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = (
+        SC.first_domains(stream, ts="ts", keep="10 days").writeStream.format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    assert sorted(r.domain for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"d{i}.com" for i in range(5)]
+
+
 def test_stream_counters(spark, tmp_path):
     spark.createDataFrame([(1, None), (1, "x"), (2, None)], "page int, reject_reason string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("page int, reject_reason string").parquet(str(tmp_path / "in"))
