@@ -159,16 +159,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLU
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     blank = Model(idf, np.zeros((0, SLOTS), np.float32), [])
 
+    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id")
+    known = shared_table(labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "_lang"))
+    # A share of the rows that holds the smallest hashes several times over; only those are ranked.
+    share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * per_language) / F.col("n")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = shared_table(
-        rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("lang", "doc_id")
+        labelled.join(known, F.col("lang") == F.col("_lang"))
+        .where(share)
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= per_language)
         .select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"))
         .distinct()
     )
-    sample = usable.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    named = usable.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    sample = named.dropDuplicates(["doc_id", "lang"]).select("lang", "text")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         counts = [c for c in map(gram_counts, sorted(rows["text"])) if c is not None]
