@@ -55,3 +55,19 @@ def bitmap_blocks(hashes: DataFrame, column: str, slots: int = BITMAP_SLOTS) ->
         .groupBy("block")
         .agg(F.bitmap_construct_agg("place").alias("bits"))
     )
+
+
+def bitmap_split(rows: DataFrame, key: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in a table of keys, and rows whose key is not.
+
+    The bitmap is at most 16 MB, so it is broadcast; what is not in the table need not be shuffled to find out.
+    """
+    slot = F.pmod(F.col(key), F.lit(BITMAP_SLOTS))
+    blocks = F.broadcast(bitmap_blocks(keys, column).select(F.col("block").alias("_block"), F.col("bits").alias("_bits")))
+    place = (slot % BITMAP_BLOCK).cast("int")
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.join(blocks, F.floor(slot / BITMAP_BLOCK) == F.col("_block"), "left")
+    power = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), place % 8 + 1)
+    hit = F.coalesce(byte.bitwiseAND(power) > 0, F.lit(False))
+    columns = [rows[c] for c in rows.columns]
+    return told.where(hit).select(*columns), told.where(~hit).select(*columns)
