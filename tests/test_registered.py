@@ -53,7 +53,7 @@ SMALL_RESULT = {"junk_metrics", "relevance_vs_label", "extraction_yield"}
 
 
 @pytest.mark.parametrize(
-    "name", ["candidate_first_per_domain", "top_leads", "activity_feed", "evidence", "contact_sources", "upsert_leads"]
+    "name", ["candidate_first_per_domain", "top_leads", "activity_feed", "evidence", "upsert_leads"]
 )
 def test_ranks_are_limited_before_the_shuffle(spark, name):
     assert "row_number(), " in plan_of(entry.queries()[name](spark, FOLDER)) and "Partial" in plan_of(
