@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,25 @@ def test_held_out_is_a_third_by_id(spark):
     ids = spark.range(300).withColumnRenamed("id", "doc_id")
     got = {r[0]: r[1] for r in ids.select("doc_id", langid.held_out()).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in range(300)}
+
+
+def test_long_salad_and_languages_not_learned_are_rejected(spark):
+    """In Latin letters, against a model of running text with many words."""
+    rnd, rows = random.Random(5), []
+    for lang, parts in (("aa", "the ing er and on tion re st ly ou".split()), ("bb", "sch ein ung der ich ge en zu ver auf".split())):
+        for k in range(120):
+            text = " ".join("".join(rnd.choices(parts, k=rnd.randrange(1, 4))) for _ in range(rnd.choice([3, 10, 100, 400])))
+            rows.append((2 * k + (lang == "bb"), text, lang))
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def salad(n):
+        return " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 9))) for _ in range(n))
+
+    finnish = (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+        "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    )
+    out = learned.judge([salad(n) for n in (50, 300, 3000)] + [finnish])
+    assert [r[2] for r in out] == [True] * 4, out
+    assert [r[1] > langid.MIN_COSINE for r in out] == [True] * 4, "one cutoff for all lengths would keep them"
+    assert not any(r[2] for r in learned.judge([t for _, t, _ in rows]))
