@@ -7,7 +7,7 @@ from functools import wraps
 
 from leadlode.session import tune
 
-MODULES = ("langid", "mixing", "line_dedup", "packing", "simhash", "quality", "substring", "media", "lm_scoring", "warc", "lexical_search", "parity_join")
+MODULES = ("langid", "mixing", "line_dedup", "packing", "simhash", "quality", "substring", "media", "lm_scoring", "warc", "lexical_search", "parity_join", "conversation_repair")
 
 
 def _tuned(fn):
