@@ -42,8 +42,9 @@ PERCENT = 90
 #: Ratio of the sizes of a band, and words of the second sketch.
 BAND_RATIO = 1.25
 SHORT = 4
-#: Shingles of a chunk of sets that meets another in one task.
-CHUNK = 1 << 19
+#: Shingles and sets of a chunk that meets another in one task.
+CHUNK = 1 << 21
+CHUNK_SETS = 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -258,10 +259,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk: i
     return _compared(left.select(F.col("a").alias("cell"), "chunk", F.lit(LEFT).alias("side"), "sid", "copies", "hashes").union(right), percent, False)
 
 
-def counted_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def counted_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, many: int = CHUNK_SETS) -> DataFrame:
     """``sid, links``: how many documents of other classes each class is linked to, from ``sid, label`` of the components."""
     held = members.join(sets.select("sid", "n"), "sid")
-    room = held.groupBy("label").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
+    room = held.groupBy("label").agg(F.ceil(F.greatest(F.sum("n") / chunk, F.count("*") / many)).alias("chunks"))
     own = F.pmod(F.xxhash64("sid"), "chunks")
     zero = F.lit(0).cast("long")
     # Chunk i meets chunk j in cell (i, j), i <= j: on the left for i, on the right for j.
