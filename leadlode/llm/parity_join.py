@@ -294,14 +294,21 @@ def linked_classes(docs: DataFrame, told: DataFrame, size: int = SIZE, percent:
     shared = shared_table(ends.select("key", "low"))
     perhaps, _ = bitmap_split(keyed, "key", shared, "key")
     met = shared_table(perhaps.distinct().join(shared, "key"))
-    ids = met.select("sid").distinct()
-    sets = shared_table(fetched_sets(docs, shared_table(classes.join(ids, "sid", "left_semi").select("sid", "th", "copies")), size))
 
     sketches = classes.select("sid", "n", "short")
     stars = met.where(F.col("sid") != F.col("low")).select("low", "sid").distinct()
     of = lambda side: sketches.select(F.col("sid").alias(f"{side}sid"), F.col("n").alias(f"{side}n"), F.col("short").alias(f"{side}short"))
     stars = stars.join(of("a_"), F.col("low") == F.col("a_sid")).join(of("b_"), F.col("sid") == F.col("b_sid"))
-    stars = stars.where(_may_link("a_", "b_", percent)).select(F.col("low").alias("a"), F.col("sid").alias("b"))
+    stars = shared_table(stars.where(_may_link("a_", "b_", percent)).select(F.col("low").alias("a"), F.col("sid").alias("b")))
+
+    # Only sets of pairs that may be linked are fetched.
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return shared_table(fetched_sets(docs, shared_table(classes.join(ids, "sid", "left_semi").select("sid", "th", "copies")), size))
+
+    sets = fetch(of_pairs(stars))
     edges = shared_table(verified(stars, sets, percent))
     labels = shared_table(connected_components(edges))
 
@@ -320,6 +327,7 @@ def linked_classes(docs: DataFrame, told: DataFrame, size: int = SIZE, percent:
     pairs = pairs.select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct()
     pairs = shared_table(pairs.join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
+        sets = sets.union(fetch(of_pairs(pairs).join(sets.select("sid"), "sid", "left_anti")))
         edges = shared_table(edges.union(verified(pairs, sets, percent)))
         labels = shared_table(connected_components(edges))
     links = shared_table(counted_links(labels.withColumnRenamed("node", "sid"), sets, percent))
