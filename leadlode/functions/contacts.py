@@ -6,13 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlode import rules
+from leadlode.functions import text as TX
 from leadlode.functions.common import contains_any, distinct_by, let, strip, text_or_empty
 
 
 # The same addresses as EMAIL_PATTERN finds: a match can only start where a run of
 # local-part characters starts (or where the last match ended), so every other
 # place of the text is skipped at once.
-_EMAIL_AT_RUN_START = r"(?:\G|(?<![a-zA-Z0-9._%+-]))" + rules.EMAIL_PATTERN
+_RUN_START = r"(?:\G|(?<![a-zA-Z0-9._%+-]))"
+_EMAIL_AT_RUN_START = _RUN_START + rules.EMAIL_PATTERN
+# An address (group 2) with up to 50 characters before and after it.  What lies around is
+# looked at only where an address was met, so a text is read once however many it holds.
+_EMAIL_IN_PLACE = (
+    f"(?s){_RUN_START}(?={rules.EMAIL_PATTERN})" + r"(?<=(\A.{0,49}|.{50}))" + f"({rules.EMAIL_PATTERN})" + r"(?=(.{0,50}))"
+)
 
 
 def _none() -> Column:
@@ -28,6 +35,27 @@ def find_emails(text: Column) -> Column:
     return _found(text, text.contains("@"), _EMAIL_AT_RUN_START, 0)
 
 
+def sighted_emails(text: Column) -> Column:
+    """``array<struct(email, context)>``: every address as it occurs, with the text around it.
+
+    One pass over the text, whatever the number of addresses.
+    """
+
+    def group(n):
+        return _found(text, text.contains("@"), _EMAIL_IN_PLACE, n)
+
+    around = F.arrays_zip(group(1).alias("before"), group(2).alias("email"), group(3).alias("after"))
+    return F.transform(
+        around,
+        lambda m: F.struct(
+            m["email"].alias("email"),
+            F.substring(
+                strip(F.translate(F.concat(m["before"], m["email"], m["after"]), "\n", " ")), 1, 100
+            ).alias("context"),
+        ),
+    )
+
+
 def is_valid_email(
     email: Column,
     blocked_words=rules.BLOCKED_EMAIL_WORDS,
@@ -93,17 +121,44 @@ def page_emails(
     blocked_words=rules.BLOCKED_EMAIL_WORDS,
     asset_extensions=rules.ASSET_EXTENSIONS,
 ) -> Column:
-    """Valid addresses of one page, first spelling of each, in order of sight."""
+    """``array<struct(email, context)>``: valid addresses of one page, first spelling of each, in order of sight."""
     html = text_or_empty(html)
-    found = F.concat(
-        find_emails(text_or_empty(text)),
-        protected_emails(html),
-        mailto_targets(html),
-        deobfuscated_emails(html),
-        find_emails(html),
+    hidden = F.concat(
+        protected_emails(html), mailto_targets(html), deobfuscated_emails(html), find_emails(html)
     )
-    valid = F.filter(found, lambda e: is_valid_email(e, blocked_words, asset_extensions))
-    return distinct_by(valid, F.lower)
+    bare = F.transform(hidden, lambda e: F.struct(e.alias("email"), F.lit(rules.NO_CONTEXT).alias("context")))
+    found = F.concat(sighted_emails(text_or_empty(text)), bare)
+    valid = F.filter(found, lambda e: is_valid_email(e["email"], blocked_words, asset_extensions))
+    return distinct_by(valid, lambda e: F.lower(e["email"]))
+
+
+def headed_emails(
+    html: Column,
+    blocked_words=rules.BLOCKED_EMAIL_WORDS,
+    asset_extensions=rules.ASSET_EXTENSIONS,
+) -> Column:
+    """``array<struct(email, heading)>`` of the addresses below a heading of a page, in order of sight.
+
+    The page is cut at its headings once, and a piece knows its own heading: no address looks back
+    over the page.  What follows the first heading only is looked at.
+    """
+    pieces = F.slice(TX.sections(text_or_empty(html)), 2, 1 << 30)
+
+    def of_piece(piece):
+        found = F.concat(
+            find_emails(TX.html_text(piece)),
+            protected_emails(piece),
+            mailto_targets(piece),
+            deobfuscated_emails(piece),
+            find_emails(piece),
+        )
+        valid = F.filter(found, lambda e: is_valid_email(e, blocked_words, asset_extensions))
+        return let(
+            TX.section_heading(piece),
+            lambda h: F.transform(valid, lambda e: F.struct(e.alias("email"), h.alias("heading"))),
+        )
+
+    return F.flatten(F.transform(pieces, of_piece))
 
 
 def find_phones(text: Column) -> Column:

@@ -86,16 +86,23 @@ def source_context(text: Column, term: Column, reach: int = 50) -> Column:
     ).otherwise(F.lit(rules.NO_CONTEXT))
 
 
-def heading_before(text: Column, term: Column) -> Column:
-    """The last markdown heading above the first occurrence of a term, else NULL."""
-    at = F.position(F.lower(term), F.lower(text))
-    above = F.substr(text, F.lit(1), F.greatest(at - 1, F.lit(0)))
-    found = F.when(
-        (at > 0) & text.contains("#"),
-        F.regexp_extract_all(above, F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1)),
-    )
-    named = F.filter(F.transform(found, strip), lambda h: ~h.startswith("SOURCE_URL:"))
-    return F.try_element_at(named, F.lit(-1))
+# Where a heading with a text starts: <h1> to <h3>, or one to three # at the start of a line.
+HEADING_START = (
+    r"(?i)(?=<h[1-3](?:\s[^>]*)?>(?:\s|<(?!/h[1-3])[^>]*>)*[^<\s])"
+    r"|(?m)(?=^#{1,3}[ \t]+(?!SOURCE_URL:)\S)"
+)
+_HEADING_TEXT = r"(?is)\A(?:<h[1-3](?:\s[^>]*)?>(.*?)(?:</h[1-3]\s*>|\z)|#{1,3}[ \t]+([^\n]+))"
+
+
+def sections(html: Column) -> Column:
+    """A page cut at its headings; all pieces but the first start with one."""
+    return F.split(F.concat(F.lit("\n"), html), HEADING_START, -1)
+
+
+def section_heading(piece: Column) -> Column:
+    """Text of the heading that a piece starts with, else ''."""
+    found = F.concat(F.regexp_extract(piece, _HEADING_TEXT, 1), F.regexp_extract(piece, _HEADING_TEXT, 2))
+    return squeeze(F.regexp_replace(found, "<[^>]+>", " "))
 
 
 def page_summary(text: Column, company: Column, limit: int = 200) -> Column:

@@ -22,15 +22,14 @@ def extract_emails(
 ) -> DataFrame:
     """``id, pos, email, context``: valid addresses per document, first spelling of each.
 
-    ``context`` is the text around the address; it costs nothing unless selected.
+    ``context`` is the text around the first place that holds exactly this address.
     """
-    text = text_or_empty(F.col(text_col))
     found = F.filter(
-        C.find_emails(text), lambda e: C.is_valid_email(e, blocked_words, asset_extensions)
+        C.sighted_emails(text_or_empty(F.col(text_col))),
+        lambda e: C.is_valid_email(e["email"], blocked_words, asset_extensions),
     )
-    return docs.select(
-        id_col, F.col(text_col).alias("_text"), F.posexplode(distinct_by(found, F.lower)).alias("pos", "email")
-    ).select(id_col, "pos", "email", TX.source_context(F.col("_text"), F.col("email")).alias("context"))
+    first = distinct_by(found, lambda e: F.lower(e["email"]))
+    return docs.select(id_col, F.posexplode(first).alias("pos", "e")).select(id_col, "pos", "e.email", "e.context")
 
 
 def extract_phones(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +41,10 @@ def mine_pages(
     blocked_words=rules.BLOCKED_EMAIL_WORDS,
     asset_extensions=rules.ASSET_EXTENSIONS,
 ) -> DataFrame:
-    """Page rows with their contacts: ``site, url, page_id, emails, phones, ...``."""
+    """Page rows with their contacts: ``site, url, page_id, emails, headed, phones, ...``.
+
+    ``headed`` has the addresses below a heading; it costs nothing unless selected.
+    """
     html = text_or_empty(F.col("html"))
     return (
         pages.select(
@@ -53,8 +55,8 @@ def mine_pages(
             "page_id",
             "url",
             "site",
-            "text",
             C.page_emails(F.col("text"), F.col("html"), blocked_words, asset_extensions).alias("emails"),
+            C.headed_emails(F.col("html"), blocked_words, asset_extensions).alias("headed"),
             C.find_phones(F.col("text")).alias("phones"),
             C.find_profiles(F.col("html")).alias("profiles"),
             TX.has_contact_section(F.col("text")).alias("has_contact_section"),
@@ -62,45 +64,41 @@ def mine_pages(
     )
 
 
-def contact_values(mined: DataFrame) -> DataFrame:
-    """One row per contact and page: ``site, kind, value, key, url, page_id, pos``.
-
-    An e-mail also has the heading (or page name) above it as ``label`` and the text
-    around it as ``context``.
+def contact_values(mined: DataFrame, headings: bool = False) -> DataFrame:
+    """One row per contact and page: ``site, kind, value, key, context, url, page_id, pos``.
 
-    Every page also gives a ``page`` row, and a ``section`` row when it shows a
-    contact section, so that one pass over the pages answers for a whole site.
+    Every page also gives a ``page`` row, and a ``section`` row when it shows a contact section, so that
+    one pass over the pages answers for a whole site.  With ``headings`` there is a ``heading`` row for
+    each place where an address stands below a heading, the heading as its value.  All of it comes from
+    arrays that were built in one pass over the page: the work grows with its length, not with its
+    length times its addresses.
     """
 
-    def of_kind(kind, values, key=lambda v: v, label=None, context=None):
-        none = F.lit(None).cast("string")
+    def of_kind(kind, values, value=lambda v: v, key=lambda v: v, context=lambda v: F.lit(None).cast("string")):
         return F.transform(
             values,
             lambda v, i: F.struct(
                 F.lit(kind).alias("kind"),
-                v.alias("value"),
+                value(v).alias("value"),
                 key(v).alias("key"),
                 i.alias("pos"),
-                (none if label is None else label(v)).alias("label"),
-                (none if context is None else context(v)).alias("context"),
+                context(v).alias("context"),
             ),
         )
 
-    text = F.col("text")
     blank = F.array(F.lit(""))
-    everything = F.concat(
+    address = lambda v: F.lower(v["email"])
+    rows = [
         of_kind("page", blank),
         of_kind("section", F.when(F.col("has_contact_section"), blank).otherwise(F.slice(blank, 1, 0))),
-        of_kind(
-            "email", F.col("emails"), F.lower,
-            label=lambda v: F.coalesce(TX.heading_before(text, v), urls.page_name(F.col("url"))),
-            context=lambda v: TX.source_context(text, v),
-        ),
+        of_kind("email", F.col("emails"), lambda v: v["email"], address, lambda v: v["context"]),
         of_kind("phone", F.col("phones")),
         of_kind("company_profile", F.array_compact(F.array(F.col("profiles.company")))),
         of_kind("people_profile", F.col("profiles.people")),
-    )
-    return mined.select("site", "url", "page_id", F.inline(everything))
+    ]
+    if headings:
+        rows.append(of_kind("heading", F.col("headed"), lambda v: v["heading"], address))
+    return mined.select("site", "url", "page_id", F.inline(F.concat(*rows)))
 
 
 def distinct_contacts(values: DataFrame) -> DataFrame:
@@ -118,16 +116,23 @@ def distinct_contacts(values: DataFrame) -> DataFrame:
 def email_sources(values: DataFrame) -> DataFrame:
     """``site, email, url, page, label, page_id, pos``: a row for each page an address was found on.
 
-    A page that was crawled several times counts once, with its first sight; ``page_id, pos`` give the
-    order.  Nothing is gathered per address, so one on millions of pages is as many rows.  ``values`` is
-    read twice; pass a written table, not a pending mining job.
+    ``label`` is the first heading that the address stands below, else the name of the page; it needs the
+    ``heading`` rows of ``contact_values``.  A page that was crawled several times counts once, with its
+    first sight; ``page_id, pos`` give the order.  Nothing is gathered per address, so one on millions of
+    pages is as many rows.  ``values`` is read twice; pass a written table, not a pending mining job.
     """
-    emails = values.where(F.col("kind") == "email")
+    seen = values.where(F.col("kind").isin("email", "heading"))
+    is_email = F.col("kind") == "email"
     sight = F.struct("page_id", "pos")
-    spelled = emails.groupBy("site", "key").agg(F.min_by("value", sight).alias("email"))
-    per_page = emails.groupBy("site", "key", "url").agg(F.min(sight).alias("first"), F.min_by("label", sight).alias("label"))
+    spelled = seen.where(is_email).groupBy("site", "key").agg(F.min_by("value", sight).alias("email"))
+    per_page = (
+        seen.groupBy("site", "key", "url")
+        .agg(F.min(F.when(is_email, sight)).alias("first"), F.min_by("value", F.when(~is_email, sight)).alias("heading"))
+        .where(F.col("first").isNotNull())
+    )
+    page = urls.page_name(F.col("url"))
     return per_page.join(spelled, ["site", "key"]).select(
-        "site", "email", "url", urls.page_name(F.col("url")).alias("page"), "label", "first.page_id", "first.pos"
+        "site", "email", "url", page.alias("page"), F.coalesce("heading", page).alias("label"), "first.page_id", "first.pos"
     )
 
 
@@ -201,8 +206,8 @@ def pick_external_contact(contacts: DataFrame, keys=("domain",), pos: str = "pos
 def fill_from_external(
     bundles: DataFrame, external: DataFrame, label: str = "External contact data"
 ) -> DataFrame:
-    """Use an outside contact (``site, email``, one per site) where a site showed none."""
-    given = external.select("site", or_none(F.col("email")).alias("_given"))
+    """Use an outside contact (``site, email``) where a site showed none; of several the first in letter order."""
+    given = external.groupBy("site").agg(F.min(or_none(F.col("email"))).alias("_given"))
     use = F.col("primary_email").isNull() & F.col("_given").isNotNull()
     return (
         bundles.join(given, "site", "left")

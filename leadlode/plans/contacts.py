@@ -87,8 +87,10 @@ def contact_bundle(spark, folder):
 
 def contact_sources(spark, folder):
     mined = CO.mine_pages(_pages_with_docs(spark, folder), blocked_words=V.NO_WORDS)
-    values = cut_lineage(CO.contact_values(mined).where(F.col("kind") == "email"))
-    return CO.email_sources(values).select("site", "email", "url", F.col("page").alias("source_label"), "page_id", "pos")
+    values = CO.contact_values(mined, headings=True).where(F.col("kind").isin("email", "heading"))
+    return CO.email_sources(cut_lineage(values)).select(
+        "site", "email", "url", F.col("page").alias("source_label"), F.col("label").alias("heading"), "page_id", "pos"
+    )
 
 
 def extraction_yield(spark, folder):
@@ -224,6 +226,18 @@ _MINED = f"""
   ph AS ({sql_phones("pg", "page_id", "text")}),
   e1 AS (SELECT site, lower(email) AS k, email, url, page_id, pos, {sql_context('text')} AS ctx FROM em JOIN pg USING (page_id)),
   p1 AS (SELECT site, phone, url, page_id, pos FROM ph JOIN pg USING (page_id))"""
+# Headings cut a page into pieces; an address is labelled by the first heading it stands below.
+_HEADED = f"""
+  cut AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?i)(<h[1-3](?:\\s[^>]*)?>)', chr(1) || '\\1', 'g'),
+            '(?m)^(#{{1,3}}[ \\t]+)', chr(1) || '\\1', 'g'), chr(1)) AS l FROM pg WHERE contains(html, '@')),
+  pieces AS (SELECT page_id, unnest(l) AS piece, generate_subscripts(l, 1) AS s FROM cut),
+  named_pieces AS (SELECT *, last_value(nullif(head, '') IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY s) AS heading FROM (
+    SELECT *, CASE WHEN starts_with(piece, '#') THEN {V.sql_squeeze("regexp_extract(piece, '^#{1,3}[ \\t]+([^\\n]+)', 1)")}
+      WHEN s > 1 THEN {V.sql_squeeze("regexp_replace(regexp_extract(piece, '(?is)^<h[1-3][^>]*>(.*?)(</h[1-3]\\s*>|$)', 1), '<[^>]+>', ' ', 'g')")}
+      END AS head FROM pieces)),
+  headed AS (SELECT site, lower(e) AS k, url, arg_min(heading, (page_id, s)) AS heading FROM (
+    SELECT page_id, s, heading, unnest(regexp_extract_all(piece, {V.q(rules.EMAIL_PATTERN)})) AS e FROM named_pieces WHERE heading IS NOT NULL)
+    JOIN pg USING (page_id) GROUP BY ALL)"""
 _NAME = """CASE WHEN rtrim(P, '/') = '' THEN 'Homepage' WHEN contains(lower(P), 'contact') THEN 'Contact Page'
   WHEN contains(lower(P), 'about') THEN 'About Page' WHEN contains(lower(P), 'team') THEN 'Team Page'
   ELSE rtrim(P, '/') END"""
@@ -332,11 +346,12 @@ SQL = {
         SELECT doc_id, email, min(doc_id) OVER (PARTITION BY lower(email)) AS source_doc FROM e""",
     "contact_bundle": _BUNDLE,
     "contact_sources": f"""
-        WITH {_MINED},
+        WITH {_MINED}, {_HEADED},
         named AS (SELECT site, k, arg_min(email, (page_id, pos)) AS email FROM e1 GROUP BY site, k),
         first AS (SELECT site, k, url, min((page_id, pos)) AS seen FROM e1 GROUP BY site, k, url)
-        SELECT site, email, url, {sql_page_name('url')} AS source_label, seen[1] AS page_id, seen[2] AS pos
-        FROM first JOIN named USING (site, k)""",
+        SELECT site, email, url, {sql_page_name('url')} AS source_label, coalesce(heading, {sql_page_name('url')}) AS heading,
+          seen[1] AS page_id, seen[2] AS pos
+        FROM first JOIN named USING (site, k) LEFT JOIN headed USING (site, k, url)""",
     "extraction_yield": f"""
         WITH b AS ({_BUNDLE}),
         f AS (

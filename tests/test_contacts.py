@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import random
 import re
 
@@ -128,12 +130,48 @@ def test_an_address_keeps_all_its_pages_each_once(spark):
     assert len(got) == 30 and {r.page_id for r in got} == set(range(0, 60, 2))
 
 
-def test_heading_above_and_external_fill(spark, evaluate):
-    text = "# Intro\n## Sales team\nx a@b.cc\n### SOURCE_URL: u\nb@c.dd\n# After"
-    got = evaluate(TX.heading_before(F.col("t"), F.col("e")), [(text, "a@b.cc"), (text, "B@C.dd"), ("a@b.cc", "a@b.cc"), (text, "zz")], "t string, e string")
-    assert got == ["Sales team", "Sales team", None, None]
+def test_heading_above(evaluate):
+    page = (
+        "a@b.cc <h1 class='x'>Sales <b>team</b></h1><p>x A@b.cc<h2> <i></i></h2>c@d.ee<header>h@d.ee</header>"
+        "<h3>Press</h3><a href='mailto:press@d.ee'>c@d.ee</a><h4>x</h4>z@d.ee"
+    )
+    text = "a@b.cc\n# Intro\n## Sales\nx a@b.cc\n### SOURCE_URL: u\nb@c.dd\n# After"
+    got = evaluate(C.headed_emails(X), [page, text, "x@y.zz", ""])
+    first, seen = {}, [[(r["email"].lower(), r["heading"]) for r in rows] for rows in got]
+    for email, heading in seen[0]:
+        first.setdefault(email, heading)
+    assert first == {"a@b.cc": "Sales team", "c@d.ee": "Sales team", "h@d.ee": "Sales team", "press@d.ee": "Press", "z@d.ee": "Press"}
+    assert dict(seen[1]) == {"a@b.cc": "Sales", "b@c.dd": "Sales"} and seen[2:] == [[], []]
+
+
+def test_sighted_emails(evaluate):
+    text = "q" * 70 + "\nX@y.de, " + "b" * 20 + " myx@y.de and x@y.de" + "c" * 3 + "\n" + "d" * 90
+    got = [(r["email"], r["context"]) for r in evaluate(C.sighted_emails(X), [text])[0]]
+    assert [e for e, _ in got] == ["X@y.de", "myx@y.de", "x@y.deccc"]
+    for email, context in got:
+        at = text.index(" " + email) + 1 if email != "X@y.de" else text.index(email)
+        assert context == text[max(0, at - 50) : at + len(email) + 50].replace("\n", " ").strip()[:100]
+
+
+def test_page_mining_is_linear(spark):
+    """Four times the addresses of one page cost about four times as much, not sixteen times."""
+
+    def seconds(n):
+        body = "".join(f"<h2>Desk {k}</h2><p>{'word ' * 10} desk{k}@acme.org</p>" for k in range(n))
+        pages = spark.createDataFrame([(1, "https://acme.org/", body)], "page_id bigint, url string, html string")
+        start = time.perf_counter()
+        rows = CO.email_sources(CO.contact_values(CO.mine_pages(pages), headings=True)).collect()
+        assert len(rows) == n and all(r.label == "Desk " + r.email[4:-9] for r in rows)
+        return time.perf_counter() - start
+
+    seconds(50)
+    few, many = (min(seconds(n) for _ in range(2)) for n in (1000, 4000))
+    assert many < 7 * few + 1
+
+
+def test_external_fill(spark):
     b = spark.createDataFrame([("a", None, "No", 0, False), ("b", "x@b", "Homepage", 1, True)], "site string, primary_email string, source_label string, n_emails bigint, found boolean")
-    e = spark.createDataFrame([("a", "out@a"), ("b", "out@b")], "site string, email string")
+    e = spark.createDataFrame([("a", "out@a"), ("a", "zz@a"), ("a", ""), ("b", "out@b")], "site string, email string")
     got = {r.site: (r.primary_email, r.source_label, r.n_emails, r.found) for r in CO.fill_from_external(b, e).collect()}
     assert got == {"a": ("out@a", "External contact data", 1, True), "b": ("x@b", "Homepage", 1, True)}
 
