@@ -148,21 +148,15 @@ def told_sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Data
     return told.mapInArrow(run, "doc_id long, th long, n long, sid long, short array<long>, keys array<long>")
 
 
-def fetched_sets(docs: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
-    """``sid, n, copies, hashes`` of the wanted classes (``sid, th, copies``), from one text of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, hashes], ["sid", "copies", "n", "hashes"])
+def fetched_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sid, n, copies, text`` of the wanted classes (``sid, th, n, copies``): one text of each, as bytes.
 
+    Texts travel to where sets are compared: packed, they are half the size of their hashes.
+    """
     text = F.col("text").cast("string")
     texts = docs.select(F.xxhash64(text).alias("_th"), text.cast("binary").alias("text"))
     perhaps, _ = bitmap_split(texts, "_th", wanted, "th")
-    one = perhaps.dropDuplicates(["_th"]).join(wanted, F.col("_th") == F.col("th"))
-    return one.select("sid", "copies", "text").mapInArrow(run, "sid long, copies long, n long, hashes array<long>")
+    return perhaps.dropDuplicates(["_th"]).join(wanted, F.col("_th") == F.col("th")).select("sid", "n", "copies", "text")
 
 
 def _linked(n_a, n_b, common, percent: int):
@@ -187,8 +181,8 @@ def _meet(left: list, right: list, percent: int) -> Iterator[tuple[int, np.ndarr
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
-def _compare(percent: int, counted: bool):
-    """Of rows sorted by cell (``cell, chunk, side, sid, copies, hashes``): the links between its sides.
+def _compare(size: int, percent: int, counted: bool):
+    """Of rows sorted by cell (``cell, chunk, side, sid, copies, text``): the links between its sides.
 
     Either ``src, dst`` of each link, or ``sid, links``: for every set the documents it is linked to.
     """
@@ -224,15 +218,13 @@ def _compare(percent: int, counted: bool):
 
         for batch in batches:
             cells = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            sides, sids, copies = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            lists = batch.column(5)
-            flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            sides, sids, copies, texts = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
             for i, own in enumerate(cells):
                 if own != name:
                     for kept, more in zip(out, cell(held) if held else ((), ()), strict=True):
                         kept.extend(more)
                     name, held = own, []
-                held.append((sides[i], sids[i], copies[i], flat[ends[i] : ends[i + 1]].copy()))
+                held.append((sides[i], sids[i], copies[i], shingles(texts[i], size)))
             if len(out[0]) > 1 << 16:
                 yield batch_of()
                 out = ([], [])
@@ -243,23 +235,25 @@ def _compare(percent: int, counted: bool):
     return run
 
 
-def _compared(rows: DataFrame, percent: int, counted: bool) -> DataFrame:
+def _compared(rows: DataFrame, size: int, percent: int, counted: bool) -> DataFrame:
     schema = "sid long, links long" if counted else "src long, dst long"
-    dealt = rows.select("cell", "chunk", "side", "sid", "copies", "hashes").repartition("cell", "chunk")
-    return dealt.sortWithinPartitions("cell", "chunk").mapInArrow(_compare(percent, counted), schema)
+    dealt = rows.select("cell", "chunk", "side", "sid", "copies", "text").repartition("cell", "chunk")
+    return dealt.sortWithinPartitions("cell", "chunk").mapInArrow(_compare(size, percent, counted), schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """``src, dst``: the pairs ``a, b`` whose sets are alike enough; ``a``'s set goes to each chunk of its partners once."""
+def verified(pairs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """``src, dst``: the pairs ``a, b`` whose sets are alike enough; ``a``'s text goes to each chunk of its partners once."""
     partners = shared_table(pairs.join(sets.select(F.col("sid").alias("b"), "n"), "b"))
     room = partners.groupBy("a").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
     dealt = shared_table(partners.join(room, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")))
-    right = dealt.join(sets, F.col("b") == F.col("sid")).select(F.col("a").alias("cell"), "chunk", F.lit(RIGHT).alias("side"), "sid", "copies", "hashes")
+    right = dealt.join(sets, F.col("b") == F.col("sid")).select(F.col("a").alias("cell"), "chunk", F.lit(RIGHT).alias("side"), "sid", "copies", "text")
     left = dealt.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("sid"))
-    return _compared(left.select(F.col("a").alias("cell"), "chunk", F.lit(LEFT).alias("side"), "sid", "copies", "hashes").union(right), percent, False)
+    return _compared(left.select(F.col("a").alias("cell"), "chunk", F.lit(LEFT).alias("side"), "sid", "copies", "text").union(right), size, percent, False)
 
 
-def counted_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, many: int = CHUNK_SETS) -> DataFrame:
+def counted_links(
+    members: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk: int = CHUNK, many: int = CHUNK_SETS
+) -> DataFrame:
     """``sid, links``: how many documents of other classes each class is linked to, from ``sid, label`` of the components."""
     held = members.join(sets.select("sid", "n"), "sid")
     room = held.groupBy("label").agg(F.ceil(F.greatest(F.sum("n") / chunk, F.count("*") / many)).alias("chunks"))
@@ -270,8 +264,8 @@ def counted_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, c
     as_right = F.transform(F.sequence(zero, own), lambda i: F.struct((i * F.col("chunks") + own).alias("chunk"), F.lit(RIGHT).alias("side")))
     cells = F.concat(as_left, F.filter(as_right, lambda c: c["chunk"] != own * F.col("chunks") + own))
     dealt = held.join(room, "label").select("sid", F.col("label").alias("cell"), F.inline(cells))
-    rows = dealt.join(sets.select("sid", "copies", "hashes"), "sid")
-    return _compared(rows, percent, True).groupBy("sid").agg(F.sum("links").alias("links"))
+    rows = dealt.join(sets.select("sid", "copies", "text"), "sid")
+    return _compared(rows, size, percent, True).groupBy("sid").agg(F.sum("links").alias("links"))
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -301,15 +295,15 @@ def linked_classes(docs: DataFrame, told: DataFrame, size: int = SIZE, percent:
     stars = stars.join(of("a_"), F.col("low") == F.col("a_sid")).join(of("b_"), F.col("sid") == F.col("b_sid"))
     stars = shared_table(stars.where(_may_link("a_", "b_", percent)).select(F.col("low").alias("a"), F.col("sid").alias("b")))
 
-    # Only sets of pairs that may be linked are fetched.
+    # Only texts of pairs that may be linked are fetched.
     def of_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
 
     def fetch(ids: DataFrame) -> DataFrame:
-        return shared_table(fetched_sets(docs, shared_table(classes.join(ids, "sid", "left_semi").select("sid", "th", "copies")), size))
+        return shared_table(fetched_texts(docs, shared_table(classes.join(ids, "sid", "left_semi").select("sid", "th", "n", "copies"))))
 
     sets = fetch(of_pairs(stars))
-    edges = shared_table(verified(stars, sets, percent))
+    edges = shared_table(verified(stars, sets, size, percent))
     labels = shared_table(connected_components(edges))
 
     # What is still apart: one side of such a pair at least is not of the key's first component.
@@ -328,9 +322,9 @@ def linked_classes(docs: DataFrame, told: DataFrame, size: int = SIZE, percent:
     pairs = shared_table(pairs.join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         sets = sets.union(fetch(of_pairs(pairs).join(sets.select("sid"), "sid", "left_anti")))
-        edges = shared_table(edges.union(verified(pairs, sets, percent)))
+        edges = shared_table(edges.union(verified(pairs, sets, size, percent)))
         labels = shared_table(connected_components(edges))
-    links = shared_table(counted_links(labels.withColumnRenamed("node", "sid"), sets, percent))
+    links = shared_table(counted_links(labels.withColumnRenamed("node", "sid"), sets, size, percent))
     out = classes.join(labels, F.col("sid") == F.col("node"), "left").join(links, "sid", "left")
     return out.select("sid", "first", "copies", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), edges
 

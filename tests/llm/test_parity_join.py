@@ -59,8 +59,8 @@ def families():
 
 @pytest.mark.parametrize("chunk", [1 << 19, 300])
 def test_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(PJ.verified, "__defaults__", (90, chunk))
-    monkeypatch.setattr(PJ.counted_links, "__defaults__", (90, chunk, 7))
+    monkeypatch.setattr(PJ.verified, "__defaults__", (3, 90, chunk))
+    monkeypatch.setattr(PJ.counted_links, "__defaults__", (3, 90, chunk, 7))
     docs = families()
     want = brute(docs)
     assert 40 < sum(n > 0 for *_, n in want) < len(want) - 20
