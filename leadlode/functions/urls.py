@@ -33,6 +33,11 @@ def clean_domain(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.lower(host), ":", 1), r"^www\.", "")
 
 
+def canonical(url: Column) -> Column:
+    """What the spellings of one page share: host without ``www.`` and port, path without closing slashes."""
+    return F.concat(clean_domain(url), F.regexp_replace(url_path(url), "/+$", ""))
+
+
 def parent_suffixes(domain: Column) -> Column:
     """The domain itself and every parent of it: a.b.c -> [a.b.c, b.c, c]."""
     labels = F.split(domain, r"\.")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadlode import rules, schemas
 from leadlode.functions.common import or_none, text_or_empty
 from leadlode.operators.components import connected_components
-from leadlode.operators.ordered import numbered_rows
+from leadlode.operators.ordered import numbered_rows, numbers_of
 from leadlode.session import cut_lineage
 
 
@@ -19,13 +19,22 @@ def label_of(email_type: Column, nth: Column) -> Column:
     return F.concat_ws(" ", word, nth.cast("string"))
 
 
+LABEL_KEYS = ["client_id", "company_id", "email_type"]
+
+
+def label_picked(history: DataFrame, picked: DataFrame) -> DataFrame:
+    """Sequence labels of some e-mails of a log; the others are only counted."""
+    numbered = numbers_of(history, picked, LABEL_KEYS, "id")
+    return numbered.withColumn("label", label_of(F.col("email_type"), F.col("nth"))).drop("nth")
+
+
 def label_emails(history: DataFrame, already: DataFrame | None = None, **options) -> DataFrame:
     """Sequence label of every e-mail: ``Follow-up 3`` is the third of its type.
 
     ``already`` holds counts (``n``) per client, company and type of an older log
     that this one continues.
     """
-    keys = ["client_id", "company_id", "email_type"]
+    keys = LABEL_KEYS
     numbered = numbered_rows(history, keys, "id", **options)
     nth = F.col("nth")
     if already is not None:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leadlode import rules
 from leadlode.functions.common import let
+from leadlode.operators.crm import label_picked
 
 
 def dashboard_kpis(clients: DataFrame, history: DataFrame) -> DataFrame:
@@ -128,8 +129,12 @@ def activity_feed(
     """The ``k`` latest events per company out of e-mails and client saves.
 
     The latest e-mails are picked before client names are looked up, so the join
-    sees a handful of rows per company.
+    sees a handful of rows per company; so it is with their sequence labels, which
+    are made here for a log that has none.
     """
+    latest = _last(history, recent)
+    if "label" not in history.columns:
+        latest = label_picked(history, latest.withColumnRenamed("nth", "_nth")).withColumnRenamed("_nth", "nth")
     kind = F.col("email_type")
     word = F.when(kind == "outreach", "Cold Outreach").when(kind == "followup", "Follow-up").otherwise(
         "Negotiation Reply"
@@ -137,8 +142,7 @@ def activity_feed(
     icon = F.when(kind == "outreach", "auto_awesome").when(kind == "followup", "sync").otherwise("handshake")
     who = clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     mails = (
-        _last(history, recent)
-        .join(who, "client_id", "left")
+        latest.join(who, "client_id", "left")
         .select(
             "company_id",
             F.concat(F.col("label"), F.lit(" Generated")).alias("title"),

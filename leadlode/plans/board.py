@@ -20,8 +20,7 @@ def weekly_chart(spark, folder):
 
 
 def activity_feed(spark, folder):
-    log = crm.label_emails(V.mail_log(spark, folder))
-    return DA.activity_feed(V.clients(spark, folder), log, V.AS_OF)
+    return DA.activity_feed(V.clients(spark, folder), V.mail_log(spark, folder), V.AS_OF)
 
 
 def pipeline_stages(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leadlode import rules
 from leadlode.functions import text as TX
@@ -129,6 +130,35 @@ def evidence(spark, folder):
     )
 
 
+def _crawl(pages):
+    """The pages, and at the address of a page's first three links the page some places before it."""
+    links = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(LI.HREF), F.lit(1))).alias("k", "href"))
+    led_to = links.where(F.col("k") < 3).select(
+        (F.col("page_id") - F.col("k") - 1).alias("from_id"),
+        (F.col("page_id") * 10 + F.col("k") + 10**9).alias("page_id"),
+        urls.absolutise(F.col("href"), F.col("url")).alias("url"),
+    )
+    html = pages.select(F.col("page_id").alias("from_id"), "html")
+    return pages.select("page_id", "url", "html").unionByName(led_to.join(html, "from_id").drop("from_id"))
+
+
+def _homes(pages):
+    site = urls.clean_domain(F.col("url"))
+    first = Window.partitionBy("site").orderBy("page_id")
+    ranked = pages.select("page_id", site.alias("site"), "url", "html").withColumn("nth", F.row_number().over(first))
+    return ranked.where(F.col("nth") == 1).drop("nth")
+
+
+def evidence_linked(spark, folder):
+    """Home pages with the pages of a crawl that they link to."""
+    p = text_table(spark, folder, "pages", "page_id")
+    e = EV.gather_evidence(_homes(p), _crawl(p), min_chars=800, words=SUB_WORDS, skip_words=SUB_SKIP)
+    return e.select(
+        "site", F.length("evidence").cast("bigint").alias("n_chars"),
+        F.md5("evidence").alias("digest"), "source_label",
+    )
+
+
 def contact_pages(spark, folder):
     """Addresses to visit for contacts: the usual ones, then the page's best links."""
     p = text_table(spark, folder, "pages", "page_id")
@@ -166,7 +196,7 @@ QUERIES = {
     for f in (
         page_text, page_text_decoded, page_summaries, doc_emails, doc_emails_default, doc_phones,
         email_context, email_first_source, contact_bundle, contact_sources, extraction_yield,
-        contact_links, subpages, evidence, external_contact, contact_pages, evidence_choice, last_spellings,
+        contact_links, subpages, evidence, evidence_linked, external_contact, contact_pages, evidence_choice, last_spellings,
     )
 }
 
@@ -397,3 +427,23 @@ SQL = {
               CAST(trust_score + CASE WHEN relevance_reason IS NOT NULL THEN 10 ELSE 0 END AS BIGINT) AS score
             FROM ({V.CLIENTS}))) WHERE nth = 1""",
 }
+
+_KEY = f"({V.sql_domain('url')} || rtrim({V.sql_path('url')}, '/'))"
+SQL["evidence_linked"] = f"""
+    WITH hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, {V.q(LI.HREF)}, 1)[:3]) AS h,
+                     generate_subscripts(regexp_extract_all(html, {V.q(LI.HREF)}, 1)[:3], 1) - 1 AS k FROM pages),
+    crawl AS (SELECT page_id, url, html FROM pages UNION ALL
+      SELECT l.page_id * 10 + k + 1000000000, u, p.html FROM (SELECT *, {_ABS} AS u FROM hrefs) l JOIN pages p ON p.page_id = l.page_id - k - 1),
+    homes AS (SELECT {V.sql_domain('url')} AS site, arg_min(page_id, page_id) AS page_id FROM pages GROUP BY 1),
+    links AS (SELECT site, s.url, rnk, {_KEY.replace("url", "s.url")} AS key FROM ({SQL["subpages"]}) s JOIN homes USING (page_id)),
+    held AS (SELECT {_KEY} AS key, arg_min(html, page_id) AS html FROM crawl GROUP BY 1),
+    parts AS (
+      SELECT site, url, 1 AS nth, {sql_text('html')} AS t FROM homes JOIN pages USING (page_id) UNION ALL
+      SELECT site, url, rnk + 1, {sql_text('html')} FROM links JOIN held USING (key)),
+    k AS (SELECT * FROM parts WHERE nth = 1 OR length({V.sql_strip('t')}) > 800),
+    b AS (SELECT site, string_agg(CASE WHEN nth = 1 THEN t ELSE chr(10) || chr(10) || '--- SUBPAGE EVIDENCE (' ||
+             {V.sql_path('url')} || ') ---' || chr(10) || t END, '' ORDER BY nth) AS e,
+           CASE WHEN count(*) = 1 THEN 'homepage only' ELSE
+             string_agg(CASE WHEN nth = 1 THEN 'homepage' ELSE {V.sql_path('url')} END, ' + ' ORDER BY nth) END AS source_label
+          FROM k GROUP BY site)
+    SELECT site, length(e) AS n_chars, md5(e) AS digest, source_label FROM b"""

@@ -8,6 +8,7 @@ from leadlode.functions import text as TX
 from leadlode import rules
 from leadlode.operators import candidates as CA
 from leadlode.operators import results_page as RP
+from leadlode.operators import ordered
 from leadlode.operators.ordered import running_sums
 
 HIT = "query string, page int, pos int, url string, title string, content string"
@@ -100,6 +101,25 @@ def test_running_sums_over_several_chunks(spark):
     assert got == want
 
 
+def test_ranges_are_balanced_for_sparse_time_ids(spark):
+    """One key with half of the rows, ids in nanoseconds and in bursts: no key has much more than ``rows`` in a range."""
+    at = lambda i: 1_700_000_000_000_000_000 + (i // 100) * 86_400_000_000_000 + (i % 100) * 4096
+    rows = [("hot" if i % 2 else f"k{i % 10}", at(i), 1) for i in range(4000)] + [("hot", None, 1)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    cuts = ordered.range_cuts(df, "o", 200)
+    assert 15 <= len(cuts) <= 20
+    sizes = df.groupBy(ordered.range_number("o", cuts, "bigint").alias("at")).count().collect()
+    assert len(sizes) > 15 and max(r["count"] for r in sizes) <= 400
+    want = [sum(c <= v for c in cuts) for v in (at(0), at(1999), at(3999))]
+    got = spark.createDataFrame([(at(0),), (at(1999),), (at(3999),)], "o bigint").select(ordered.range_number("o", cuts, "bigint")).collect()
+    assert [r[0] for r in got] == want
+    numbered = ordered.numbered_rows(df, ["k"], "o", rows=200).where("k = 'hot'").orderBy(F.asc_nulls_first("o")).collect()
+    assert [r["nth"] for r in numbered] == list(range(1, 2002))
+    picked = df.where("k = 'hot'").orderBy(F.desc("o")).limit(3).union(df.where("k = 'k4'").limit(1))
+    some = ordered.numbers_of(df.where("o is not null"), picked, ["k"], "o").collect()
+    assert sorted((r["k"], r["nth"]) for r in some) == [("hot", 1998), ("hot", 1999), ("hot", 2000), ("k4", 1)]
+
+
 def test_seen_domains_stay_out(spark):
     h = CA.with_domain(hits(spark, (1, 0, "https://a1.com/", ""), (1, 1, "https://b1.com/", "")))
     seen = spark.createDataFrame([("a1.com",)], "domain string")

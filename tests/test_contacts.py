@@ -12,6 +12,7 @@ from leadlode.functions import common
 from leadlode.functions import contacts as C
 from leadlode.functions import text as TX
 from leadlode.operators import contacts as CO
+from leadlode.operators import evidence as EV
 from leadlode.operators import links as LI
 
 X = F.col("x")
@@ -224,3 +225,30 @@ def test_external_pick(spark):
         "domain string, pos int, value string, confidence int, position string",
     )
     assert {r.domain: r.value for r in CO.pick_external_contact(c).collect()} == {"a": "y", "b": "q"}
+
+
+def test_evidence_follows_links_of_the_home_page(spark):
+    about = "<p>" + "about us " * 30 + "</p>"
+    home = "<p>home</p><a href='/about/'>x</a><a href='http://www.acme.org/services?q=1'>y</a><a href='/contact'>z</a>"
+    homes = spark.createDataFrame(
+        [("acme.org", "https://acme.org/", home), ("lone.org", "https://lone.org/", "<a href='/company'>c</a>"), ("null.org", "https://null.org/", None)],
+        "site string, url string, html string",
+    )
+    pages = spark.createDataFrame(
+        [(9, "https://www.acme.org/about", "<p>newer</p>"), (3, "http://acme.org/about/#top", about), (4, "https://acme.org/contact", about),
+         (5, "https://acme.org/services", "<p>short</p>"), (6, "https://other.org/company", about)],
+        "page_id bigint, url string, html string",
+    )
+    got = {r.site: r for r in EV.gather_evidence(homes, pages, max_subpages=3).collect()}
+    text = ("about us " * 30).strip()
+    assert got["acme.org"].source_label == "homepage + /about + /contact"
+    assert got["acme.org"].evidence == f"home x y z\n\n--- SUBPAGE EVIDENCE (/about) ---\n{text}\n\n--- SUBPAGE EVIDENCE (/contact) ---\n{text}"
+    assert (got["lone.org"].source_label, got["null.org"].evidence) == ("homepage only", "")
+
+
+def test_a_page_that_many_sites_link_to_is_sent_to_several_tasks(spark):
+    rows = [(f"s{k}", k % 3 + 1, "https://hub.org/about", "hub.org/about") for k in range(200)] + [("t", 1, "https://t.org/about", "t.org/about")]
+    links = spark.createDataFrame(rows, "site string, rnk int, target string, key string")
+    pages = spark.createDataFrame([(1, "https://hub.org/about", "<p>hub</p>"), (2, "https://t.org/about/", "<p>t</p>")], "page_id bigint, url string, html string")
+    got = EV.linked_pages(links, pages, hub_links=50).collect()
+    assert sorted((r.site, r.rnk, r.text) for r in got) == sorted((s, n, "t" if s == "t" else "hub") for s, n, _, _ in rows)
