@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlode import rules
+from leadlode.functions import contacts as C
 from leadlode.functions import names
 from leadlode.functions import text as TX
-from leadlode.functions.common import contains_any, or_none, strip, text_or_empty
+from leadlode.functions import urls
+from leadlode.functions.common import contains_any, distinct_by, let, or_none, strip, text_or_empty
 
 
 def junk_match(text: Column) -> Column:
@@ -219,11 +221,51 @@ def card_snippet(
     ).otherwise(no_bio)
 
 
+def card_contacts(evidence: Column, title: Column, snippet: Column) -> Column:
+    """Contacts of a card, mined from the evidence text, else from title and snippet.
+
+    ``struct(email, phone, phones, emails, linkedin, context)``: the first valid address, phone number and
+    profile, all addresses and numbers, and the text around the first address.
+    """
+    text = F.coalesce(or_none(strip(evidence)), F.concat_ws(" ", text_or_empty(title), text_or_empty(snippet)))
+
+    def of(text):
+        sighted = F.filter(C.sighted_emails(text), lambda e: C.is_valid_email(e["email"]))
+        return F.struct(
+            distinct_by(sighted, lambda e: F.lower(e["email"])).alias("emails"),
+            C.find_phones(text).alias("phones"),
+            C.find_profiles(text)["best"].alias("linkedin"),
+        )
+
+    return let(
+        let(text, of),
+        lambda m: F.struct(
+            F.get(m["emails"], 0)["email"].alias("email"),
+            F.get(m["phones"], 0).alias("phone"),
+            m["phones"].alias("phones"),
+            F.transform(m["emails"], lambda e: e["email"]).alias("emails"),
+            m["linkedin"].alias("linkedin"),
+            F.get(m["emails"], 0)["context"].alias("context"),
+        ),
+    )
+
+
 def company_cards(
     qualified: DataFrame, industry: str, country: str = "", city: str = "",
-    overrides: dict[str, str] | None = None,
+    overrides: dict[str, str] | None = None, evidence: str | None = None,
 ) -> DataFrame:
-    """Accepted candidates as the cards a reader sees."""
+    """Accepted candidates as the cards a reader sees.
+
+    With ``evidence``, the column of the text gathered about a candidate, cards have their contacts:
+    ``email, phone, phones, emails, linkedin`` and ``contactSource``, the page they were found on.
+    """
+    contacts = {}
+    if evidence is not None:
+        qualified = qualified.withColumn("_found", card_contacts(F.col(evidence), F.col("title"), F.col("snippet")))
+        page = urls.page_name(F.col("url"))
+        source = F.struct(F.col("url"), page.alias("page"), page.alias("label"), F.col("_found.context").alias("context"))
+        contacts = {c: F.col(f"_found.{c}") for c in ("email", "phone", "phones", "emails", "linkedin")}
+        contacts["contactSource"] = F.when(F.col("_found.email").isNotNull(), source)
     name = names.resolve_name(F.col("official_company_name"), F.col("title"), F.col("domain"), overrides)
     return qualified.withColumn("name", name).select(
         F.lit("company").alias("type"),
@@ -241,6 +283,7 @@ def company_cards(
         F.lit("Verified Company").alias("trustStatus"),
         F.lower("lead_type").alias("leadType"),
         F.col("verdict_source").alias("source"),
+        *[v.alias(c) for c, v in contacts.items()],
         *[c for c in ("query", "page", "pos") if c in qualified.columns],
     )
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from leadlode import rules
 from leadlode.functions import text as TX
+from leadlode.operators import clients as CL
 from leadlode.operators import candidates as CA
 from leadlode.operators import leads as LE
 from leadlode.operators import metrics as ME
 from leadlode.operators import qualify as QU
 from leadlode.operators import relevance as RE
 from leadlode.plans import candidates as PC
+from leadlode.plans import contacts as CP
 from leadlode.plans import views as V
 from leadlode.sources.readers import table, text_table
 
@@ -117,6 +119,17 @@ def qualified_cards(spark, folder):
     )
 
 
+def card_export(spark, folder):
+    """Cards as an export, with the contacts of their evidence: four documents for odd pages, else the title."""
+    d = text_table(spark, folder, "documents", "doc_id")
+    four = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    texts = d.groupBy(F.call_function("div", F.col("doc_id"), F.lit(4)).alias("page_id")).agg(
+        F.array_join(F.transform(four, lambda x: x["text"]), "\n").alias("evidence")
+    )
+    found = _evaluated(spark, folder).join(texts.where(F.col("page_id") % 2 == 1), "page_id", "left")
+    return CL.export_projection(QU.company_cards(found, INDUSTRY, evidence="evidence"), CL.CARD_EXPORT)
+
+
 def top_leads(spark, folder):
     return CA.take_target(_evaluated(spark, folder), n=10).select("query", "rnk", "domain", "lead_type")
 
@@ -132,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         junk_rule, junk_metrics, company_names, relevance, relevance_vs_label, verdicts,
-        qualified_cards, top_leads, new_leads,
+        qualified_cards, card_export, top_leads, new_leads,
     )
 }
 
@@ -263,3 +276,21 @@ SQL = {
         SELECT 'co-' || domain AS id, final_name AS company_name, 'contact@' || domain AS contact_email, true AS is_guessed,
           'Outreach opportunity for ' || final_name AS subject, reason AS suggested_action FROM ({_RESOLVED})""",
 }
+
+_CARD_TEXT = f"""
+  SELECT r.*, coalesce(t.text, r.title || ' ') AS ev FROM ({_RESOLVED}) r LEFT JOIN (
+    SELECT doc_id // 4 AS page_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1) t
+  ON t.page_id = r.page_id AND r.page_id % 2 = 1"""
+SQL["card_export"] = f"""
+    WITH cards AS ({_CARD_TEXT}),
+    em AS (SELECT page_id, email, {CP.sql_context("ev")} AS ctx
+           FROM (SELECT page_id, email FROM ({CP.sql_emails("cards", "page_id", "ev", rules.BLOCKED_EMAIL_WORDS)}) WHERE pos = 0)
+           JOIN cards USING (page_id)),
+    ph AS (SELECT page_id, phone FROM ({CP.sql_phones("cards", "page_id", "ev")}) WHERE pos = 0)
+    SELECT final_name AS "Company Name", url AS "Website", domain AS "Domain", {V.q(INDUSTRY)} AS "Industry",
+      CASE WHEN detected_country = 'unknown' THEN 'Global' ELSE detected_country END AS "Country",
+      confidence::VARCHAR AS "AI Fit Score (%)", 'Verified Company' AS "Trust Status", coalesce(email, 'N/A') AS "Email",
+      coalesce(phone, 'N/A') AS "Phone", 'N/A' AS "LinkedIn",
+      CASE WHEN email IS NULL THEN 'N/A' ELSE {CP.sql_page_name("url")} END AS "Contact Source Page",
+      coalesce(nullif(ctx, ''), 'N/A') AS "Source Context", reason AS "Summary"
+    FROM cards LEFT JOIN em USING (page_id) LEFT JOIN ph USING (page_id)"""

@@ -195,3 +195,19 @@ def test_batch_hook(spark):
 
     df = spark.createDataFrame([("a",)], "x string")
     assert QU.apply_batch_fn(df, shout, "x string").first().x == "A"
+
+
+def test_cards_have_the_contacts_of_their_evidence(spark):
+    text = "Call +49 30 1234 5678 or mail Sales@acme.org, sales@ACME.org, x@acme.org; https://www.linkedin.com/company/acme"
+    rows = [("a", "https://acme.org/contact", "Acme", "", text), ("b", "https://b.org/", "B", "write b@b-mail.org", None), ("c", "https://c.org/", "C", None, " ")]
+    c = spark.createDataFrame(rows, "domain string, url string, title string, snippet string, evidence string").selectExpr(
+        "*", "'' AS official_company_name", "'x' AS detected_country", "'because' AS reason", "80 AS confidence",
+        "'NEEDS_SERVICE' AS lead_type", "'verdict' AS verdict_source",
+    )
+    got = {r.domain: r for r in QU.company_cards(c, "Pharma", evidence="evidence").collect()}
+    a = got["a"]
+    assert (a.email, a.phone, a.emails, a.phones) == ("Sales@acme.org", "+49 30 1234 5678", ["Sales@acme.org", "x@acme.org"], ["+49 30 1234 5678"])
+    assert "linkedin.com/company/acme" in a.linkedin and a.contactSource.page == "Contact Page" and a.contactSource.context.startswith("Call")
+    assert got["b"].email == "b@b-mail.org" and got["b"].contactSource.page == "Homepage"
+    assert (got["c"].email, got["c"].phones, got["c"].contactSource) == (None, [], None)
+    assert "email" not in QU.company_cards(c, "Pharma").columns
