@@ -41,6 +41,8 @@ from leadlode.llm.simhash import _BLANK
 WINDOW = 20
 GRAM = 8
 HOT = 256
+#: Rows of a window that one task compares with the earliest.
+SALT_ROWS = 1 << 13
 #: Bytes of a text that are hashed at a time.
 STRETCH = 1 << 20
 
@@ -288,16 +290,38 @@ def _span_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for order, start, rid, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h = _runs(np.frombuffer(ids, "<u4").astype(np.uint64), window).view(np.int64)
-                out.append(np.stack((h, np.full(len(h), order), np.full(len(h), rid), np.arange(start, start + len(h)))))
-            rows = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["wh", "ord", "rid", "start"])
+            if not batch.num_rows:
+                continue
+            orders, starts, rids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            raw = batch.column(3).to_pylist()
+            sizes = np.array([len(x) // 4 for x in raw], np.int64)
+            counts = np.maximum(sizes - window + 1, 0)
+            # All pieces are hashed as one run; windows that reach over the end of a piece are left out.
+            h = _runs(np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), window).view(np.int64)
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            own = h[np.repeat(np.cumsum(sizes) - sizes, counts) + within]
+            columns = [own, np.repeat(orders, counts), np.repeat(rids, counts), np.repeat(starts, counts) + within]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["wh", "ord", "rid", "start"])
 
     return run
 
 
+def _later(windows: DataFrame, window: int, rows: int = SALT_ROWS) -> DataFrame:
+    """``rid, begin, end`` of every window that also starts earlier; a window with many rows is dealt to several tasks."""
+    earliest = shared_table(windows.groupBy("wh").agg(F.min(F.struct("ord", "start")).alias("least"), F.count("*").alias("n")).where(F.col("n") > 1))
+    salts = F.ceil(F.col("n") / rows).cast("int")
+    many = shared_table(earliest.where(F.col("n") > rows).select(F.col("wh").alias("_many"), salts.alias("_salts")))
+    dealt = windows.join(many, F.col("wh") == F.col("_many"), "left").withColumn(
+        "salt", F.pmod(F.xxhash64("ord", "start"), F.coalesce("_salts", F.lit(1))).cast("int")
+    )
+    first = earliest.select(F.col("wh").alias("_wh"), "least", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    return (
+        dealt.join(first, (F.col("wh") == F.col("_wh")) & (F.col("salt") == F.col("_salt")))
+        .where((F.col("ord") != F.col("least.ord")) | (F.col("start") != F.col("least.start")))
+        .select("rid", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
+    )
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``_rid, spans``: what goes from each document, as word positions.  Runs jobs when called."""
     spark = docs.sparkSession
@@ -322,13 +346,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
         .select("ord", "start", "rid", "ids")
         .mapInArrow(_windows(window), "wh long, ord long, rid long, start long")
     )
-    earliest = hot_windows.groupBy("wh").agg(F.min(F.struct("ord", "start")).alias("least"))
-    again = (
-        hot_windows.join(earliest.withColumnRenamed("wh", "_wh"), F.col("wh") == F.col("_wh"))
-        .where((F.col("ord") != F.col("least.ord")) | (F.col("start") != F.col("least.start")))
-        .select("rid", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
-    )
-    spans = shared_table(cold).union(again)
+    spans = shared_table(cold).union(_later(shared_table(hot_windows), window))
     return shared_table(spans.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
 
