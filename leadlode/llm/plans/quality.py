@@ -62,12 +62,13 @@ dist AS (
       + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] / list_sum(classes) + z[2]) / 2)) ELSE 0 END)) / 2)) AS cd,
     sqrt(greatest(0, list_sum(list_transform(list_zip(words_n, words_q), lambda z:
       CASE WHEN z[1] > 0 THEN z[1] / list_sum(words_n) * log2(z[1] / list_sum(words_n) / ((z[1] / list_sum(words_n) + z[2]) / 2)) ELSE 0 END
-      + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] / list_sum(words_n) + z[2]) / 2)) ELSE 0 END)) / 2)) AS wd
-  FROM spread),
+      + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] / list_sum(words_n) + z[2]) / 2)) ELSE 0 END)) / 2)) AS wd,
+    CASE WHEN o > 0 THEN 0.9 * sqrt((1 - o + log2(2 / (1 + o)) + o * log2(2 * o / (1 + o))) / 2) END AS empty
+  FROM (SELECT *, words_q[-1] AS o FROM spread)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM dist)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND (n_words < 50 OR coalesce(cd <= 0.3 AND wd <= 0.42, true)) AS kept
+  NOT base_failed AND (n_words < 50 OR coalesce(cd <= 0.3 AND wd <= 0.42 AND coalesce(wd <= empty, true), true)) AS kept
 FROM b
 """
 }

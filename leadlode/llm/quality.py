@@ -2,7 +2,9 @@
 
 A document is compared with references of its language: the histogram of its character classes
 and that of the language's commonest words (and all others together), each by Jensen-Shannon
-distance.  The references are counted over all documents of the language.  Documents with fewer
+distance.  A document without any of the common words is at a distance that follows from their share alone
+(0.34 for words that are a fifth of all); who comes within ``MAX_EMPTY_SHARE`` of it is not in the language, be it letter
+salad, a list or a text under a wrong label.  The references are counted over all documents of the language.  Documents with fewer
 words than ``MIN_WORDS`` or with a language without reference are not judged by distance, since
 small histograms are far from everything.
 
@@ -27,6 +29,8 @@ COMMON_WORDS = 16
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.42
+#: Of the distance that a document without any common word has: texts nearer to that than to the language go.
+MAX_EMPTY_SHARE = 0.9
 SYMBOLS = "#*$%&|<>"
 #: Character classes, each counted in what the ones before have left over.
 CLASSES = (
@@ -41,10 +45,10 @@ CLASSES = (
 
 def repeated_window_words(found: Column, size: int = WINDOW) -> Column:
     """Words covered by windows of ``size`` words that occur twice or more, from the array of words."""
-    hashes = F.when(
-        F.size(found) >= size,
-        F.transform(F.sequence(F.lit(1), F.size(found) - size + 1), lambda i: F.xxhash64(F.slice(found, i, size))),
-    ).otherwise(F.array().cast("array<long>"))
+
+    def windows(h: Column) -> Column:
+        of = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, size)]))
+        return F.slice(of, 1, F.greatest(F.size(h) - (size - 1), F.lit(0)))
 
     def places(in_order: Column) -> Column:
         def again(x, i):
@@ -61,11 +65,11 @@ def repeated_window_words(found: Column, size: int = WINDOW) -> Column:
         some = F.size(F.array_distinct(h)) < F.size(h)
         return F.when(some, let(pairs, lambda s: let(places(s), covered))).otherwise(F.lit(0).cast("long"))
 
-    return let(hashes, count)
+    return let(F.transform(found, lambda x: F.xxhash64(x)), lambda h: let(windows(h), count))
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """``row, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, plain`` of each document."""
+    """``row, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, lowered`` of each document."""
     rows = docs.select(F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     found = rows.withColumn("w", words(F.col("t"))).withColumn("n_chars", F.length("t")).withColumn("left", F.col("t"))
     for name, pattern in CLASSES:
@@ -84,7 +88,7 @@ def profile(docs: DataFrame) -> DataFrame:
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("w")).alias("n_repeat_words"),
         F.array(*[F.col(f"n_{name}") for name, _ in CLASSES], F.length("left").cast("long")).alias("classes"),
-        F.concat(F.lit(" "), F.regexp_replace(F.lower("t"), BLANK_RUN, "  "), F.lit(" ")).alias("plain"),
+        words(F.lower("t")).alias("lowered"),
     )
 
 
@@ -135,12 +139,19 @@ def jensen_shannon(counts: Column, shares: Column) -> Column:
     return let(total, lambda n: F.when(n > 0, distance(n)))
 
 
+def empty_distance(shares: Column) -> Column:
+    """Distance of a document without common words, from shares whose last is that of all other words."""
+    rest = F.element_at(shares, -1)
+    return F.sqrt((1 - rest + F.log2(2 / (1 + rest)) + rest * F.log2(2 * rest / (1 + rest))) / 2)
+
+
 def judge(
     docs: DataFrame,
     refs: DataFrame | None = None,
     min_words: int = MIN_WORDS,
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    max_empty_share: float = MAX_EMPTY_SHARE,
 ) -> DataFrame:
     """``row``, the counts, ``base_failed, class_distance, word_distance, kept`` of every document.
 
@@ -148,11 +159,8 @@ def judge(
     """
     refs = shared_table(references(docs)) if refs is None else refs
     found = profile(docs).join(refs, F.col("lang") == F.col("ref_lang"), "left")
-    size = F.length("plain")
-    hits = F.transform(
-        "ref_words",
-        lambda r: F.floor((size - F.length(F.replace("plain", F.concat(F.lit(" "), r, F.lit(" ")), F.lit("")))) / (F.length(r) + 2)),
-    )
+    common = F.filter("lowered", lambda w: F.array_contains("ref_words", w))
+    hits = let(common, lambda c: F.transform("ref_words", lambda r: (F.size(c) - F.size(F.array_remove(c, r))).cast("long")))
     counted = found.withColumn("hits", hits).withColumn(
         "spread", F.concat("hits", F.array(F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)))
     )
@@ -167,7 +175,10 @@ def judge(
         failed.alias("base_failed"),
         jensen_shannon(F.col("classes"), F.col("classes_q")).alias("class_distance"),
         jensen_shannon(F.col("spread"), F.col("words_q")).alias("word_distance"),
+        (empty_distance(F.col("words_q")) * max_empty_share).alias("empty"),
     )
-    near = (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)
+    # A language of nothing but its common words has no rest, and 0 * log2(0) no value.
+    words_near = (F.col("word_distance") <= max_word_distance) & F.coalesce(F.col("word_distance") <= F.col("empty"), F.lit(True))
+    near = (F.col("class_distance") <= max_class_distance) & words_near
     good = (F.col("n_words") < min_words) | F.coalesce(near, F.lit(True))
-    return measured.withColumn("kept", ~F.col("base_failed") & good)
+    return measured.withColumn("kept", ~F.col("base_failed") & good).drop("empty")

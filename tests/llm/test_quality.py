@@ -55,6 +55,30 @@ def test_junk_goes_and_clean_texts_stay(spark):
     assert all(kept[k] for k in range(100)) and not kept[200] and not kept[201] and kept[202]
 
 
+def test_texts_without_common_words_and_swapped_labels_go(spark):
+    rnd = random.Random(5)
+
+    def text(lang, k=200):
+        common = WORDS[lang][:12]
+        return " ".join(rnd.choice(common) if rnd.random() < 0.25 else "".join(rnd.choices("abcdefghilmnorstu", k=6)) for _ in range(k))
+
+    others = [lang for lang in WORDS if lang != "en"][:1]
+    rows = [(k, text("en"), "en") for k in range(80)] + [(100 + k, text(others[0]), others[0]) for k in range(80)]
+    salad = [(300 + k, " ".join("".join(rnd.choices("abcdefghilmnorstu", k=6)) for _ in range(300)), "en") for k in range(3)]
+    swapped = [(400 + k, text(others[0], 400), "en") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    odd = spark.createDataFrame(salad + swapped, "doc_id long, text string, lang string")
+    kept = {r["row"]["doc_id"]: r["kept"] for r in quality.judge(docs.union(odd), refs).collect()}
+    assert all(kept[k] for k, *_ in rows) and not any(kept[k] for k, *_ in salad + swapped)
+
+
+def test_empty_distance_is_that_of_no_common_word(spark):
+    df = spark.createDataFrame([([0, 0, 9], [0.1, 0.3, 0.6])], "n array<long>, q array<double>")
+    r = df.select(quality.jensen_shannon(F.col("n"), F.col("q")).alias("d"), quality.empty_distance(F.col("q")).alias("e")).first()
+    assert abs(r["d"] - r["e"]) < 1e-12
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got = {r["row"]["doc_id"]: r for r in quality.judge(docs).collect()}
