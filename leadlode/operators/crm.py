@@ -9,7 +9,8 @@ from leadlode import rules, schemas
 from leadlode.functions.common import or_none, text_or_empty
 from leadlode.operators.components import connected_components
 from leadlode.operators.ordered import numbered_rows, numbers_of
-from leadlode.session import cut_lineage
+from leadlode.session import cut_lineage, drop_shared, write_shared
+from leadlode.sources.versions import VersionedTable
 
 
 def label_of(email_type: Column, nth: Column) -> Column:
@@ -76,6 +77,31 @@ def upsert_clients(
     reduced per name and website before they are linked, so a hot name never meets
     a join row by row.
     """
+    changed, inserted, fields = _saves(old, new, as_of, fields, seq)
+    updated = old.join(changed, "id", "left").select(*_overlay(old, fields))
+    return updated.unionByName(inserted)
+
+
+def client_changes(old: DataFrame, new: DataFrame, as_of: Column, fields=None, seq: str = "seq") -> DataFrame:
+    """The rows that ``upsert_clients`` would change or add, whole; for tables that are saved by bucket."""
+    changed, inserted, fields = _saves(old, new, as_of, fields, seq)
+    return old.join(changed, "id").select(*_overlay(old, fields)).unionByName(inserted)
+
+
+def save_clients(stored: VersionedTable, new: DataFrame, as_of: Column, **options) -> int:
+    """Save a batch to a stored client table, rewriting only the buckets its clients are in; the new version."""
+    rows, path = write_shared(client_changes(stored.read(), new, as_of, **options))
+    version = stored.upsert(rows)
+    drop_shared(new.sparkSession, path)
+    return version
+
+
+def _overlay(old: DataFrame, fields) -> list[Column]:
+    return [F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in old.columns]
+
+
+def _saves(old: DataFrame, new: DataFrame, as_of: Column, fields, seq: str):
+    """Changed fields (``id`` and ``_field``), new rows, and the fields that are saved."""
     fields = [f for f in (fields or schemas.CLIENT_FIELDS) if f in old.columns and f in new.columns]
 
     def key_of(prefix, col):
@@ -130,18 +156,12 @@ def upsert_clients(
     changes = saved.where(F.col("_id").isNotNull()).select(
         F.col("_id").alias("id"), *[F.col(f).alias(f"_{f}") for f in fields]
     )
-    updated = old.join(changes, "id", "left").select(
-        *[
-            F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
-            for c in old.columns
-        ]
-    )
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     inserted = saved.where(F.col("_id").isNull()).select(
         (top + F.col("_first")).alias("id"),
         *[_insert_value(c, fields, as_of, old) for c in old.columns if c != "id"],
     )
-    return updated.unionByName(inserted)
+    return changes, inserted, fields
 
 
 def _insert_value(column: str, fields, as_of: Column, old: DataFrame) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadlode.operators import clients as CL
@@ -9,7 +11,9 @@ from leadlode.operators import crm
 from leadlode.operators import leads as LE
 from leadlode.plans import views as V
 from leadlode.plans.board import LABELS
+from leadlode.session import checkpoint_dir
 from leadlode.sources.readers import table
+from leadlode.sources.versions import VersionedTable
 
 
 def email_labels(spark, folder):
@@ -56,6 +60,15 @@ def upsert_clients(spark, folder):
     return crm.upsert_clients(old, _incoming(spark, folder), F.lit(V.AS_OF).cast("timestamp_ntz"))
 
 
+def client_versions(spark, folder):
+    """A stored client table after a batch of saves, beside what it held before."""
+    old = V.clients(spark, folder).select("id", "company_id", "name", "website", "status", "trust_score")
+    stored = VersionedTable.create(old, f"{checkpoint_dir(spark)}/clients-{uuid.uuid4().hex}", "id", buckets=16)
+    version = crm.save_clients(stored, _incoming(spark, folder), F.lit(V.AS_OF).cast("timestamp_ntz"))
+    before = stored.read(version - 1).select("id", F.col("status").alias("old_status"), F.col("trust_score").alias("old_trust"))
+    return stored.read(version).join(before, "id", "left").select("id", "name", "status", "trust_score", "old_status", "old_trust")
+
+
 def update_clients(spark, folder):
     o = table(spark, folder, "orders")
     latest = o.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("o_orderkey"))
@@ -174,7 +187,7 @@ def region_places(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        email_labels, email_labels_continued, upsert_clients, update_clients, mark_contacted, upsert_leads,
+        email_labels, email_labels_continued, upsert_clients, client_versions, update_clients, mark_contacted, upsert_leads,
         lead_lookup, client_lookup, client_scan, client_search, export_rows, contact_overlay, region_places,
     )
 }
@@ -250,3 +263,6 @@ SQL["email_labels_continued"] = f"""
     FROM (SELECT l.*, (SELECT count(*) FROM ({V.MAIL_LOG}) o WHERE o.created_at < '1998' AND o.client_id = l.client_id
                          AND o.email_type = l.email_type) AS old
           FROM ({V.MAIL_LOG}) l WHERE created_at >= '1998')"""
+SQL["client_versions"] = f"""
+  SELECT n.id, n.name, n.status, n.trust_score, b.status AS old_status, b.trust_score AS old_trust
+  FROM ({SQL["upsert_clients"]}) n LEFT JOIN ({V.CLIENTS}) b ON b.id = n.id"""
