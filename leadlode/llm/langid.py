@@ -3,7 +3,7 @@
 A text is a vector of hashed letter n-grams (1 to 3 letters, lower case, everything that is no
 letter counting as one blank), weighted by log term frequency times inverse document frequency
 and scaled to length one.  Document frequencies are counted over all training texts.  For each
-language a bounded sample (``per_language`` texts, those with the smallest hashes of their ids)
+language a bounded sample (``per_language`` different texts, those with the smallest hashes)
 is split into ``clusters`` groups by spherical k-means; their means, scaled to one, are the
 centroids.  A text gets the language of the centroid with the largest cosine.
 
@@ -15,7 +15,8 @@ and Turkish 0.05 to 0.12 (5 to 50 words); lowest 1 % of corpus texts 0.05 (1), 0
 In texts of under ten words some salad stays.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and rejected; with no
-training rows every text is ``und``; equal texts get equal answers and ties go to the language
+training rows every text is ``und``; equal texts get equal answers, whatever rows they share a batch with; ids are
+never read, so null and repeated ones change nothing; ties go to the language
 first in code-point order.  Rows of other columns pass through untouched, whatever their names.
 """
 
@@ -48,7 +49,7 @@ _LETTERS: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or a blank; those above 0xFFFF by one rule."""
+    """For each code point its lower-case letter, or a blank; letters above 0xFFFF stay as they are."""
     global _LETTERS
     if _LETTERS is None:
         table = np.full(0x110000, 32, np.uint32)
@@ -58,7 +59,7 @@ def _letters() -> np.ndarray:
                 low = c.lower()
                 table[i] = ord(low) if len(low) == 1 else i
         above = np.arange(0x10000, 0x110000, dtype=np.uint32)
-        table[0x10000:] = np.where([chr(i).isalpha() for i in range(0x10000, 0x20000)] + [False] * 0xF0000, above, 32)
+        table[0x10000:] = np.where([chr(i).isalpha() for i in range(0x10000, 0x110000)], above, 32)
         _LETTERS = table
     return _LETTERS
 
@@ -111,9 +112,10 @@ class Model:
                 place.append(i)
                 grams.append(int(np.count_nonzero(counts)))
         if vectors:
-            cosines = np.stack(vectors) @ self.centroids.T
-            best = cosines.argmax(axis=1)
-            for i, b, row, n in zip(place, best, cosines, grams, strict=True):
+            # One product a text: a product of the whole batch rounds by its number of rows.
+            cosines = [self.centroids @ v for v in vectors]
+            for i, row, n in zip(place, cosines, grams, strict=True):
+                b = int(row.argmax())
                 near = min(1.0, max(0.0, float(row[b])))
                 out[i] = (self.languages[b], near, near < self.cutoff(n))
         return out
@@ -159,32 +161,27 @@ def _clusters(vectors: np.ndarray, clusters: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
-    """Centroids from ``doc_id, text, lang``; rows without text or language are left out.
+    """Centroids from ``text, lang``; rows without text or language are left out.
 
     ``per_language`` bounds the clustered sample of one language; the inverse document
     frequencies come from every row.
     """
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     seen, n = _document_frequencies(usable.select("text"))
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     blank = Model(idf, np.zeros((0, SLOTS), np.float32), [])
 
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id")
-    known = shared_table(labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "_lang"))
-    # A share of the rows that holds the smallest hashes several times over; only those are ranked.
-    share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * per_language) / F.col("n")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = shared_table(
-        labelled.join(known, F.col("lang") == F.col("_lang"))
-        .where(share)
-        .withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= per_language)
-        .select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"))
-        .distinct()
-    )
-    named = usable.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    sample = named.dropDuplicates(["doc_id", "lang"]).select("lang", "text")
+    keyed = usable.select("lang", "text", F.xxhash64("lang", "text").alias("key"))
+    known = shared_table(keyed.groupBy(F.col("lang").alias("_lang")).agg(F.count_distinct("key").alias("n")))
+    # A share of the texts that holds the smallest hashes several times over; only those are ranked.
+    share = F.col("key") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * per_language) / F.col("n")
+    first = Window.partitionBy("lang").orderBy("key")
+    near = keyed.join(known, F.col("lang") == F.col("_lang")).where(share).select("lang", "key").distinct()
+    chosen = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
+    chosen = shared_table(chosen.select(F.col("lang").alias("_lang"), F.col("key").alias("_key")))
+    named = keyed.join(chosen, (F.col("key") == F.col("_key")) & (F.col("lang") == F.col("_lang")))
+    sample = named.dropDuplicates(["key", "lang"]).select("lang", "text")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         counts = [c for c in map(gram_counts, sorted(rows["text"])) if c is not None]

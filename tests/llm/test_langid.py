@@ -51,6 +51,25 @@ def test_odd_rows(spark, model):
     assert langid.keep_identified(no_docs(spark), model).count() == 0
 
 
+def test_letters_of_all_planes(model):
+    """Letters above U+20000 are letters; emoji are not."""
+    out = model.judge(["\U00020000\U00020001\U0002a6d0", "\U0001f600 \U0001f680"])
+    assert out[0][0] in ("en", "de") and out[1] == ("und", 0.0, True)
+
+
+def test_scores_do_not_depend_on_the_batch(model):
+    texts = [prose(k, "en" if k % 2 else "de", 5 + k) for k in range(74)]
+    assert model.judge(texts) == [model.judge([t])[0] for t in texts]
+
+
+def test_the_sample_reads_no_ids(spark):
+    """Null and shared ids: every language is learned, from different texts, the same in each run."""
+    rows = [(None if lang == "en" else 7, prose(k % 30, lang, 60), lang) for k in range(60) for lang in ("en", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = langid.train(docs, per_language=20), langid.train(docs.repartition(3), per_language=20)
+    assert set(one.languages) == {"en", "de"} and (one.centroids == two.centroids).all()
+
+
 def test_no_training_rows(spark):
     empty = langid.train(no_docs(spark))
     assert empty.judge(["some text"]) == [("und", 0.0, True)]
