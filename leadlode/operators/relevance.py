@@ -3,6 +3,11 @@
 With a corpus of two, a token of both documents weighs 1 and a token of one
 weighs ln(1.5) + 1, so every text is scored on its own row: no shuffle, and the
 sums are integers until the last step.
+
+``profile_matches`` scores the texts against a table of profiles.  A score of ``min_score`` needs a certain share of
+a profile's squared counts among the shared tokens, so each profile is indexed by its rarest tokens only: those
+whose tail, up to the commonest, still holds that share.  Pairs that meet in the index are bounded by what they
+met in and the rest of the profile, and only pairs within reach are scored, exactly.
 """
 
 from __future__ import annotations
@@ -11,10 +16,11 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlode.functions.common import let, strip, text_or_empty
+from leadlode.session import drop_shared, write_shared
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 LONE_WEIGHT = math.log(1.5) + 1.0
@@ -111,3 +117,80 @@ def relevance_score(
         .otherwise(F.col("dot") / (doc_norm * profile_norm))
     )
     return d.select(id_col, (score if digits is None else F.round(score, digits)).alias("score"))
+
+
+def _square_sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"] * c["n"])
+
+
+def needed_share(min_score: float) -> float:
+    """The least share of a profile's squared counts that a text of this score has in common with it."""
+    t2, w2 = min_score * min_score, LONE_WEIGHT * LONE_WEIGHT
+    return t2 * w2 / (1 - t2 + t2 * w2) * (1 - 1e-9)
+
+
+def profile_index(profile_tokens: DataFrame, frequencies: DataFrame, min_score: float) -> DataFrame:
+    """``_p, token, m, reach, least`` of the tokens a match must have one of.
+
+    ``reach`` is the squared count of the tokens left out, ``least`` what a match has of them all.
+    """
+    seen = profile_tokens.join(frequencies, "token")
+    rarest = Window.partitionBy("_p").orderBy("df", "token")
+    tail = F.sum(F.col("m") * F.col("m")).over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    told = seen.withColumn("tail", tail).withColumn("least", F.col("mass") * needed_share(min_score))
+    told = told.withColumn("left_out", F.when(F.col("tail") < F.col("least"), F.col("tail")))
+    told = told.withColumn("reach", F.coalesce(F.max("left_out").over(Window.partitionBy("_p")), F.lit(0)))
+    return told.where(F.col("left_out").isNull()).select("_p", "token", "m", "reach", "least")
+
+
+def profile_matches(
+    docs: DataFrame,
+    profiles: DataFrame,
+    min_score: float = 0.1,
+    stop_words=(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    profile_col: str = "profile_id",
+    profile_text_col: str = "profile",
+    digits: int | None = 3,
+) -> DataFrame:
+    """``profile, id, score`` of every text and profile that score ``min_score`` or more.
+
+    Scores equal ``relevance_score``'s.  A text or profile without tokens matches none: its score is one constant
+    for all partners.  Ids are taken to be unique; rows with a null id or null profile id match none.  Runs jobs when called.
+    """
+    if not 0 < min_score <= 1:
+        raise ValueError("min_score must be above 0 and at most 1")
+
+    def counted(rows: DataFrame, key: str, text: str, names: tuple[str, str, str]) -> DataFrame:
+        told = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(names[0]), token_counts(F.col(text), stop_words).alias(names[1]))
+        return told.where(F.size(names[1]) > 0).withColumn(names[2], _square_sum(F.col(names[1])))
+
+    texts, path = write_shared(counted(docs, id_col, text_col, ("_d", "counts", "all_doc")))
+    wanted, wanted_path = write_shared(counted(profiles, profile_col, profile_text_col, ("_p", "wanted", "mass")))
+    of_profile = wanted.select("_p", "mass", F.explode("wanted").alias("w")).select("_p", "mass", F.col("w.token").alias("token"), F.col("w.n").alias("m"))
+    of_text = texts.select("_d", F.explode("counts").alias("c")).select("_d", F.col("c.token").alias("token"))
+    frequencies = of_text.join(of_profile.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    index, index_path = write_shared(profile_index(of_profile, frequencies, min_score))
+    met = of_text.join(index, "token").groupBy("_d", "_p").agg(
+        F.sum(F.col("m") * F.col("m")).alias("met"), F.first("reach").alias("reach"), F.first("least").alias("least")
+    )
+    pairs = met.where(F.col("met") + F.col("reach") >= F.col("least")).select("_d", "_p")
+
+    # Of a pair within reach every token of the text looks for its like in the profile; sums are of the few that meet.
+    tokens = pairs.join(texts, "_d").select("_d", "_p", "all_doc", F.explode("counts").alias("c"))
+    tokens = tokens.select("_d", "_p", "all_doc", F.col("c.token").alias("token"), F.col("c.n").alias("n"))
+    n, m = F.col("n"), F.col("m")
+    both = tokens.join(of_profile, ["_p", "token"]).groupBy("_d", "_p").agg(
+        F.first("all_doc").alias("all_doc"), F.first("mass").alias("mass"), F.sum(n * m).alias("dot"),
+        F.sum(n * n).alias("both_doc"), F.sum(m * m).alias("both_profile"),
+    )
+    w2 = F.lit(LONE_WEIGHT * LONE_WEIGHT)
+    norms = [F.sqrt(F.col(b) + (F.col(a) - F.col(b)) * w2) for b, a in (("both_doc", "all_doc"), ("both_profile", "mass"))]
+    score = F.col("dot") / (norms[0] * norms[1])
+    done, _ = write_shared(
+        both.select(F.col("_p").alias(profile_col), F.col("_d").alias(id_col), score.alias("score")).where(F.col("score") >= min_score)
+    )
+    for folder in (path, wanted_path, index_path):
+        drop_shared(docs.sparkSession, folder)
+    return done if digits is None else done.withColumn("score", F.round("score", digits))

@@ -18,6 +18,7 @@ from leadlode.plans import views as V
 from leadlode.sources.readers import table, text_table
 
 PROFILE = "That tion with the heer and est une der die und les enting erre with services"
+MIN_MATCH = 0.25
 STOP_WORDS = ("the", "and", "of", "to", "in")
 INDUSTRY = "Pharma"
 
@@ -50,6 +51,13 @@ def relevance_vs_label(spark, folder):
     )
 
 
+def profile_matches(spark, folder):
+    """All texts against the profiles of many companies at once, here the items of ``benchmark``."""
+    profiles = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("profile"))
+    docs = text_table(spark, folder, "documents", "doc_id")
+    return RE.profile_matches(docs, profiles, MIN_MATCH, STOP_WORDS, profile_col="item_id", digits=6)
+
+
 def _answers(key, folder_table):
     """Raw answers as a model might give them: fenced, broken, unsure, missing."""
     i = F.col(key)
@@ -144,7 +152,7 @@ def new_leads(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        junk_rule, junk_metrics, company_names, relevance, relevance_vs_label, verdicts,
+        junk_rule, junk_metrics, company_names, relevance, relevance_vs_label, profile_matches, verdicts,
         qualified_cards, card_export, top_leads, new_leads,
     )
 }
@@ -263,6 +271,18 @@ SQL = {
         WITH {_tokens()}
         SELECT count(*) AS n, round(corr(score, quality), 6) AS r, round(avg(abs(score - quality)), 6) AS mae
         FROM score JOIN labels USING (doc_id)""",
+    "profile_matches": f"""
+        WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS t FROM documents),
+        dc AS (SELECT doc_id, t, count(*) AS n FROM dt WHERE t NOT IN {V.in_list(STOP_WORDS)} GROUP BY ALL),
+        pt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS t FROM benchmark),
+        pc AS (SELECT item_id, t, count(*) AS m FROM pt WHERE t NOT IN {V.in_list(STOP_WORDS)} GROUP BY ALL),
+        da AS (SELECT doc_id, sum(n * n) AS a FROM dc GROUP BY 1), pa AS (SELECT item_id, sum(m * m) AS a FROM pc GROUP BY 1),
+        met AS (SELECT item_id, doc_id, sum(n * m) AS dot, sum(n * n) AS bd, sum(m * m) AS bp FROM dc JOIN pc USING (t) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, CAST(dot AS DOUBLE)
+                / (sqrt(CAST(bd AS DOUBLE) + CAST(da.a - bd AS DOUBLE) * {RE.LONE_WEIGHT**2!r}::DOUBLE)
+                 * sqrt(CAST(bp AS DOUBLE) + CAST(pa.a - bp AS DOUBLE) * {RE.LONE_WEIGHT**2!r}::DOUBLE)) AS score
+              FROM met JOIN da USING (doc_id) JOIN pa USING (item_id))
+        SELECT item_id, doc_id, round(score, 6) AS score FROM s WHERE score >= {MIN_MATCH}""",
     "verdicts": "SELECT doc_id, outcome, is_junk, industry_match, lead_type, confidence, detected_country FROM ("
     + sql_evaluated("doc_id", "SELECT doc_id, 'Doc ' || doc_id AS name, text AS snippet, '' AS scraped FROM documents") + ")",
     "qualified_cards": f"""

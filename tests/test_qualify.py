@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadlode.functions import names
@@ -211,3 +213,48 @@ def test_cards_have_the_contacts_of_their_evidence(spark):
     assert got["b"].email == "b@b-mail.org" and got["b"].contactSource.page == "Homepage"
     assert (got["c"].email, got["c"].phones, got["c"].contactSource) == (None, [], None)
     assert "email" not in QU.company_cards(c, "Pharma").columns
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.6, 0.95])
+def test_many_profiles_equal_one_by_one(spark, least):
+    rnd = random.Random(int(least * 100))
+    vocabulary = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    texts = [(k, " ".join(rnd.choices(vocabulary, weights, k=rnd.randrange(1, 30)))) for k in range(60)]
+    texts += [(60, None), (61, ""), (62, " the ! "), (None, "w1 w2"), (63, "other words only"), (64, texts[0][1])]
+    wanted = [(k, " ".join(rnd.choices(vocabulary, weights, k=rnd.randrange(1, 12)))) for k in range(12)]
+    wanted += [(12, texts[0][1]), (13, None), (14, "the"), (None, "w1")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = RE.profile_matches(docs, spark.createDataFrame(wanted, "profile_id long, profile string"), least, ("the",), digits=None)
+    found = {(r["profile_id"], r["doc_id"]): r["score"] for r in got.collect()}
+    assert got.columns == ["profile_id", "doc_id", "score"]
+
+    def counts(text):
+        return Counter(t for t in re.findall(r"\w{2,}", (text or "").lower()) if t != "the")
+
+    want = {}
+    for p, profile in wanted[:-1]:
+        for d, text in texts:
+            a, b = counts(profile), counts(text)
+            if d is None or not a or not b:
+                continue
+            one, two = ({t: n * (1 if t in other else RE.LONE_WEIGHT) for t, n in of.items()} for of, other in ((a, b), (b, a)))
+            norms = [sum(x * x for x in v.values()) ** 0.5 for v in (one, two)]
+            want[p, d] = sum(n * b[t] for t, n in a.items()) / (norms[0] * norms[1])
+    assert found.keys() == {k for k, v in want.items() if v >= least - 1e-12}
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in found)
+
+
+def test_many_profiles_index_only_rare_tokens(spark):
+    """A token of every text is left out of the index as long as the rest of the profile suffices."""
+    tokens = spark.createDataFrame([(1, 4, t, 1) for t in ("all", "some", "few", "one")], "_p long, mass long, token string, m long")
+    seen = spark.createDataFrame([("all", 1000), ("some", 100), ("few", 10), ("one", 1)], "token string, df long")
+    index = {r["token"]: r for r in RE.profile_index(tokens, seen, 0.5).collect()}
+    assert 0.25 < RE.needed_share(0.5) < 0.5 and set(index) == {"one", "few", "some"} and index["one"]["reach"] == 1
+
+
+def test_many_profiles_of_nothing(spark):
+    none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "some words")], "profile_id long, profile string")
+    assert RE.profile_matches(none, one).count() == 0
+    with pytest.raises(ValueError):
+        RE.profile_matches(none, one, 0)
