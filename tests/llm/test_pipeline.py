@@ -49,7 +49,7 @@ def test_odd_rows_pass_every_stage(spark):
 
 
 def test_queries_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in plans.all_queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in plans.all_queries()}
     assert set(plans.all_queries()) | {"pipeline"} <= set(entry.queries())
     assert [n for n in corpus_pipeline.STAGES if not callable(n[1])] == []
 
