@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leadlode.operators import candidates as CA
 from leadlode.operators import leads as LE
 from leadlode.plans import views as V
-from leadlode.session import checkpoint_dir
+from leadlode.session import checkpoint_dir, shared_files
 from leadlode.sources.readers import table
 from leadlode.streaming import candidates as SC
 from leadlode.streaming import scores as SS
@@ -51,8 +51,13 @@ def _fresh_root(spark, name):
 
 
 def _stream(spark, folder, name):
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream: the files of its folder, or the one file it is."""
+    path = f"{folder}/{name}.parquet"
+    source = spark.readStream.schema(table(spark, folder, name).schema)
+    files, where = shared_files(spark, path)
+    if files.getFileStatus(where).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def stream_scores(spark, folder):
@@ -112,7 +117,7 @@ def stream_page_counters(spark, folder):
         .start()
         .awaitTermination()
     )
-    counts = spark.read.schema("page bigint, processed bigint, qualified bigint, batch int").parquet(f"{root}/counts")
+    counts = SS.read_batches(spark, f"{root}/counts", "page bigint, processed bigint, qualified bigint")
     return counts.groupBy("page").agg(F.max("processed").alias("processed"), F.max("qualified").alias("qualified"))
 
 

@@ -53,13 +53,18 @@ def start_scores(
     )
 
 
-def read_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """All summaries so far; none if no batch has been written yet."""
-    schema = SUMMARY + ", batch int"
-    files, where = shared_files(spark, f"{root}/summaries")
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the batches of a stream have written so far, ``batch`` numbered; no rows if none has yet."""
+    schema += ", batch int"
+    files, where = shared_files(spark, path)
     if not files.exists(where):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{root}/summaries").parquet(f"{root}/summaries")
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def read_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """All summaries so far; none if no batch has been written yet."""
+    return read_batches(spark, f"{root}/summaries", SUMMARY)
 
 
 def current_scores(summaries: DataFrame, leads: DataFrame, lead: str = "lead") -> DataFrame:

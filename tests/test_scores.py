@@ -3,12 +3,14 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from leadlode.operators import leads as LE
+from leadlode.plans import scores as plans
 from leadlode.streaming import scores as SS
 
 T0 = datetime(2026, 1, 1)
@@ -140,3 +142,33 @@ def test_flags_set_earlier_stay(spark):
     one = spark.createDataFrame([(1, False, 20, False, True, 1, 0)], SS.SUMMARY + ", batch int")
     row = SS.current_scores(one, leads).first()
     assert (row.opened, row.clicked, row.bounced) == (True, True, True)
+
+
+@pytest.mark.parametrize("folders", [False, True])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, folders):
+    pages = [(k, f"https://www.d{k % 7}.de/" + ("blog/x" if k % 5 == 0 else ""), f"<title>t{k}</title>") for k in range(40)]
+    events = [(k, T0 + timedelta(hours=k), k % 3, ("view", "click")[k % 2], 1.0) for k in range(30)]
+    tables = {
+        "pages": spark.createDataFrame(pages, "page_id long, url string, html string"),
+        "events": spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double"),
+        "other": spark.range(9),
+    }
+    for name, rows in tables.items():
+        if folders:
+            rows.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            rows.coalesce(1).write.parquet(str(tmp_path / "written" / name))
+            shutil.copy(next((tmp_path / "written" / name).glob("part-*.parquet")), tmp_path / f"{name}.parquet")
+    got = {r.page: (r.processed, r.qualified) for r in plans.stream_page_counters(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict.fromkeys(range(10), 4) and sum(v[1] for v in got.values()) > 0
+    assert 0 < plans.stream_candidates(spark, str(tmp_path)).count() <= 7
+    read = plans._stream(spark, str(tmp_path), "events")
+    read.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "k")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_counters_of_a_stream_without_batches(spark, tmp_path):
+    got = SS.read_batches(spark, str(tmp_path / "none"), "page bigint, processed bigint")
+    assert got.columns == ["page", "processed", "batch"] and got.count() == 0
