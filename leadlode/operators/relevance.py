@@ -7,7 +7,8 @@ sums are integers until the last step.
 ``profile_matches`` scores the texts against a table of profiles.  A score of ``min_score`` needs a certain share of
 a profile's squared counts among the shared tokens, so each profile is indexed by its rarest tokens only: those
 whose tail, up to the commonest, still holds that share.  Pairs that meet in the index are bounded by what they
-met in and the rest of the profile, and only pairs within reach are scored, exactly.
+met in and the rest of the profile, and only pairs within reach are scored, exactly.  One join gives both: a shared
+token adds to the bound, if it is indexed, and to the sums of the score, so no text is read again for each of its pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from leadlode.session import drop_shared, write_shared
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 LONE_WEIGHT = math.log(1.5) + 1.0
 NEUTRAL = 0.5
+#: Rows at which texts and profiles meet that one task reads at most, about, and the most tasks made for that.
+TASK_ROWS = 1 << 23
+MOST_TASKS = 1 << 13
 
 
 def spark_stop_words(spark: SparkSession, language: str = "english") -> list[str]:
@@ -129,10 +133,11 @@ def needed_share(min_score: float) -> float:
     return t2 * w2 / (1 - t2 + t2 * w2) * (1 - 1e-9)
 
 
-def profile_index(profile_tokens: DataFrame, frequencies: DataFrame, min_score: float) -> DataFrame:
-    """``_p, token, m, reach, least`` of the tokens a match must have one of.
+def weighed_tokens(profile_tokens: DataFrame, frequencies: DataFrame, min_score: float) -> DataFrame:
+    """The profiles' tokens that some text has, with ``indexed``, ``reach`` and ``least``.
 
-    ``reach`` is the squared count of the tokens left out, ``least`` what a match has of them all.
+    A match must have one of the indexed tokens; ``reach`` is the squared count of those left out, ``least`` what a
+    match has of them all.
     """
     seen = profile_tokens.join(frequencies, "token")
     rarest = Window.partitionBy("_p").orderBy("df", "token")
@@ -140,7 +145,12 @@ def profile_index(profile_tokens: DataFrame, frequencies: DataFrame, min_score:
     told = seen.withColumn("tail", tail).withColumn("least", F.col("mass") * needed_share(min_score))
     told = told.withColumn("left_out", F.when(F.col("tail") < F.col("least"), F.col("tail")))
     told = told.withColumn("reach", F.coalesce(F.max("left_out").over(Window.partitionBy("_p")), F.lit(0)))
-    return told.where(F.col("left_out").isNull()).select("_p", "token", "m", "reach", "least")
+    return told.select("_p", "token", "m", "mass", "reach", "least", F.col("left_out").isNull().alias("indexed"))
+
+
+def profile_index(profile_tokens: DataFrame, frequencies: DataFrame, min_score: float) -> DataFrame:
+    """``_p, token, m, reach, least`` of the tokens a match must have one of."""
+    return weighed_tokens(profile_tokens, frequencies, min_score).where("indexed").select("_p", "token", "m", "reach", "least")
 
 
 def profile_matches(
@@ -162,35 +172,42 @@ def profile_matches(
     if not 0 < min_score <= 1:
         raise ValueError("min_score must be above 0 and at most 1")
 
-    def counted(rows: DataFrame, key: str, text: str, names: tuple[str, str, str]) -> DataFrame:
-        told = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(names[0]), token_counts(F.col(text), stop_words).alias(names[1]))
-        return told.where(F.size(names[1]) > 0).withColumn(names[2], _square_sum(F.col(names[1])))
-
-    texts, path = write_shared(counted(docs, id_col, text_col, ("_d", "counts", "all_doc")))
-    wanted, wanted_path = write_shared(counted(profiles, profile_col, profile_text_col, ("_p", "wanted", "mass")))
-    of_profile = wanted.select("_p", "mass", F.explode("wanted").alias("w")).select("_p", "mass", F.col("w.token").alias("token"), F.col("w.n").alias("m"))
-    of_text = texts.select("_d", F.explode("counts").alias("c")).select("_d", F.col("c.token").alias("token"))
-    frequencies = of_text.join(of_profile.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    index, index_path = write_shared(profile_index(of_profile, frequencies, min_score))
-    met = of_text.join(index, "token").groupBy("_d", "_p").agg(
-        F.sum(F.col("m") * F.col("m")).alias("met"), F.first("reach").alias("reach"), F.first("least").alias("least")
-    )
-    pairs = met.where(F.col("met") + F.col("reach") >= F.col("least")).select("_d", "_p")
+    spark, folders = docs.sparkSession, []
 
-    # Of a pair within reach every token of the text looks for its like in the profile; sums are of the few that meet.
-    tokens = pairs.join(texts, "_d").select("_d", "_p", "all_doc", F.explode("counts").alias("c"))
-    tokens = tokens.select("_d", "_p", "all_doc", F.col("c.token").alias("token"), F.col("c.n").alias("n"))
+    def written(rows: DataFrame) -> DataFrame:
+        told, folder = write_shared(rows)
+        folders.append(folder)
+        return told
+
+    def counted(rows: DataFrame, key: str, text: str, names: tuple[str, str, str]) -> DataFrame:
+        """A row for each token.  The counts are written first: a filter or sum over them would cut the texts again."""
+        told = written(rows.where(F.col(key).isNotNull()).select(F.col(key).alias(names[0]), token_counts(F.col(text), stop_words).alias("counts")))
+        told = told.withColumn(names[1], _square_sum(F.col("counts"))).select(names[0], names[1], F.explode("counts").alias("c"))
+        return told.select(names[0], names[1], F.col("c.token").alias("token"), F.col("c.n").alias(names[2]))
+
+    of_profile = written(counted(profiles, profile_col, profile_text_col, ("_p", "mass", "m")))
+    # Of a text only the tokens that some profile has go on; its squared counts are of them all.
+    of_text = counted(docs, id_col, text_col, ("_d", "all_doc", "n"))
+    of_text = written(of_text.join(of_profile.select("token").distinct(), "token", "left_semi"))
+    frequencies = of_text.groupBy("token").agg(F.count("*").alias("df"))
+    index = written(weighed_tokens(of_profile, frequencies, min_score))
+
+    # A text's tokens stay in one task, so its sums per profile are not shuffled.  The number of tasks only bounds what one holds.
+    meet = of_text.join(index.groupBy("token").agg(F.count("*").alias("with")), "token").agg(F.sum("with")).first()[0] or 0
+    tasks = max(min(-(-meet // TASK_ROWS), MOST_TASKS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     n, m = F.col("n"), F.col("m")
-    both = tokens.join(of_profile, ["_p", "token"]).groupBy("_d", "_p").agg(
+    both = of_text.repartition(tasks, "_d").join(index, "token").groupBy("_d", "_p").agg(
         F.first("all_doc").alias("all_doc"), F.first("mass").alias("mass"), F.sum(n * m).alias("dot"),
         F.sum(n * n).alias("both_doc"), F.sum(m * m).alias("both_profile"),
+        F.sum(F.when(F.col("indexed"), m * m)).alias("met"), F.first("reach").alias("reach"), F.first("least").alias("least"),
     )
+    both = both.where(F.col("met") + F.col("reach") >= F.col("least"))
     w2 = F.lit(LONE_WEIGHT * LONE_WEIGHT)
     norms = [F.sqrt(F.col(b) + (F.col(a) - F.col(b)) * w2) for b, a in (("both_doc", "all_doc"), ("both_profile", "mass"))]
     score = F.col("dot") / (norms[0] * norms[1])
     done, _ = write_shared(
         both.select(F.col("_p").alias(profile_col), F.col("_d").alias(id_col), score.alias("score")).where(F.col("score") >= min_score)
     )
-    for folder in (path, wanted_path, index_path):
-        drop_shared(docs.sparkSession, folder)
+    for folder in folders:
+        drop_shared(spark, folder)
     return done if digits is None else done.withColumn("score", F.round("score", digits))

@@ -253,6 +253,24 @@ def test_many_profiles_index_only_rare_tokens(spark):
     assert 0.25 < RE.needed_share(0.5) < 0.5 and set(index) == {"one", "few", "some"} and index["one"]["reach"] == 1
 
 
+def test_many_profiles_do_not_read_a_text_again_for_each_pair(spark, monkeypatch):
+    """Texts meet the profiles once, in the task that holds their tokens, with those tokens only that a profile has."""
+    plans, tokens, plain = [], [], RE.write_shared
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        if {"all_doc", "token"} <= set(df.columns):
+            tokens.append({r["token"] for r in df.collect()})
+        return plain(df)
+
+    monkeypatch.setattr(RE, "write_shared", spy)
+    docs = spark.createDataFrame([(k, f"some words of text {k} and ww{k}") for k in range(20)], "doc_id long, text string")
+    profiles = spark.createDataFrame([(1, "some words"), (2, "text words")], "profile_id long, profile string")
+    assert RE.profile_matches(docs, profiles, 0.1).count() == 40
+    assert "counts" not in plans[-1] and plans[-1].count("Exchange hashpartitioning(") == plans[-1].count("Exchange hashpartitioning(_d") == 1
+    assert tokens == [{"some", "words", "text"}]
+
+
 def test_many_profiles_of_nothing(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "some words")], "profile_id long, profile string")
     assert RE.profile_matches(none, one).count() == 0
