@@ -87,6 +87,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits((2 * bits > n).ravel()).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of a text from its shingles' hashes, repeats included."""
+    sums, column = np.zeros((8, 256), np.int64), np.arange(8) * 256
+    for at in range(0, len(hashes), ROWS):
+        rows = hashes[at : at + ROWS].astype(">u8").view(np.uint8).reshape(-1, 8)
+        sums += np.bincount((rows + column).ravel(), minlength=2048).reshape(8, 256)
+    bits = sums @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+    return int.from_bytes(np.packbits((2 * bits > len(hashes)).ravel()).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``: the fingerprint of every document, as a signed long."""
 
